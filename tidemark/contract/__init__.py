@@ -1 +1 @@
-
+"""Versioned dataset contracts: model, registry, types."""
