@@ -23,36 +23,66 @@ NULL_TEXT = "<NULL>"
 SEPARATOR = "|"
 
 
-def plain_number(c: Column) -> Column:
-    """A double's shortest text without an exponent, at least one decimal: 1e7 is 10000000.0."""
-    s = c.cast("string")
-    mantissa = F.split_part(s, F.lit("E"), F.lit(1))
-    exponent = F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int")
-    negative = mantissa.startswith("-")
-    bare = F.regexp_replace(mantissa, "^-", "")
-    whole = F.split_part(bare, F.lit("."), F.lit(1))
-    digits = F.regexp_replace(F.concat(whole, F.split_part(bare, F.lit("."), F.lit(2))), "0+$", "")
-    point = F.length(whole) + exponent
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _scientific(text: Column) -> Column:
+    """(digits, point) of a number's text: 0.digits times ten to the point."""
+
+    def of(p: Column) -> Column:
+        whole, every = p["whole"], F.concat(p["whole"], p["frac"])
+        return _let(
+            F.struct(every.alias("every"), F.regexp_replace(every, "^0+", "").alias("led"), (F.length(whole) + p["exp"]).alias("at")),
+            lambda q: F.struct(F.regexp_replace(q["led"], "0+$", "").alias("digits"), (q["at"] - F.length(q["every"]) + F.length(q["led"])).alias("point")),
+        )
+
+    bare = F.regexp_replace(F.lower(text), "^-", "")
+    mantissa = F.split_part(bare, F.lit("e"), F.lit(1))
+    exponent = F.coalesce(F.regexp_replace(F.split_part(bare, F.lit("e"), F.lit(2)), r"\+", "").try_cast("int"), F.lit(0))
+    return _let(F.struct(F.split_part(mantissa, F.lit("."), F.lit(1)).alias("whole"), F.split_part(mantissa, F.lit("."), F.lit(2)).alias("frac"), exponent.alias("exp")), of)
+
+
+def _uncommon(c: Column, write) -> Column:
+    """Text of a double from its fewest digits, where the plain cast won't do.
+
+    Before version 19 Java sometimes writes more digits than it takes, so all numbers of
+    digits are tried, fewest first.  The common case stays in generated code.
+    """
+    text = c.cast("string")
+    common = ~text.contains("E") & (F.length(text) <= 17)
+
+    def shortest(n: Column) -> Column:
+        tried = F.array(*[F.format_string(f"%.{k}e", n["c"]) for k in range(17)])
+        fewest = F.get(F.filter(tried, lambda t: t.try_cast("double") == n["c"]), 0)
+        return _let(F.coalesce(fewest, n["t"]), lambda t: _let(_scientific(t), lambda d: F.concat(F.when(n["t"].startswith("-"), "-").otherwise(""), write(d["digits"], d["point"]))))
+
+    return F.when(c.isNull() | common | F.isnan(c) | F.abs(c).isin(float("inf")), text).otherwise(_let(F.struct(c.alias("c"), text.alias("t")), shortest))
+
+
+def _positional(digits: Column, point: Column) -> Column:
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
     padded = F.rpad(digits, F.greatest(point, F.length(digits)), "0")
-    tail = padded.substr(point + 1, F.length(padded))
-    large = F.concat(padded.substr(F.lit(1), point), F.lit("."), F.when(tail == "", "0").otherwise(tail))
-    text = F.when(point <= 0, small).otherwise(large)
-    return F.when(~s.contains("E"), s).otherwise(F.concat(F.when(negative, "-").otherwise(""), text))
+    tail = F.substring(padded, point + 1, F.length(padded))
+    large = F.concat(F.substring(padded, F.lit(1), point), F.lit("."), F.when(tail == "", "0").otherwise(tail))
+    return F.when(digits == "", "0.0").when(point <= 0, small).otherwise(large)
+
+
+def _exponential(digits: Column, point: Column) -> Column:
+    rest, e = F.substring(digits, F.lit(2), F.length(digits)), F.abs(point - 1).cast("string")
+    return F.concat(F.substring(digits, 1, 1), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.lit("e"), F.when(point - 1 < 0, "-").otherwise("+"), F.lpad(e, F.greatest(F.lit(2), F.length(e)), "0"))
+
+
+def plain_number(c: Column) -> Column:
+    """A double's shortest text without an exponent, at least one decimal: 1e7 is 10000000.0."""
+    return _uncommon(c, _positional)
 
 
 def python_double(c: Column) -> Column:
     """A double's text with Python's thresholds for the exponent (1e16, 1e-4)."""
-    s = c.cast("string")
-    size = F.abs(c)
-    mantissa = F.regexp_replace(F.split_part(s, F.lit("E"), F.lit(1)), r"\.0$", "")
-    exponent = F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int")
-    with_exponent = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), "0"))
-    return (
-        F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
-        .when((c != 0) & ((size >= 1e16) | (size < 1e-4)), with_exponent)
-        .otherwise(plain_number(c))
-    )
+    far = lambda d, p: F.when((p > 16) | (p < -3), _exponential(d, p)).otherwise(_positional(d, p))
+    return F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(_uncommon(c, far))
 
 
 def _iso(c: Column) -> Column:
