@@ -174,12 +174,12 @@ def examine(text: str) -> tuple[str, str, bool, int, bool]:
     if kind in ("json", "brace"):
         unit = t if kind == "json" else _last_unit(t)
         left = _open_at_end(unit, _BRACE)
-        if left and kind == "brace" and t.count("\n") * 400 <= len(t):
+        if left and kind == "brace" and t.strip().count("\n") * 400 <= len(t):
             # Code on one line: a comment joined with what follows hides no brackets.
             left = _open_at_end(unit, _BRACE_ONE_LINE)
         if left:
             return kind, f"open {left}", True, core_length, bare
-        one_line = t.count("\n") * 400 <= len(t)
+        one_line = t.strip().count("\n") * 400 <= len(t)
         lines = _without_comments(re.sub(r"/\*.*?\*/", "", t, flags=re.S), "//")
         if not one_line and not lines:
             return kind, "", False, core_length, bare
@@ -249,9 +249,10 @@ def _baselines(signs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     whole = signs.where("cut = ''")
     n = whole.groupBy("source", "kind").agg(F.count("*").alias("n"), F.count_if("ends_usually").alias("n_usual"))
     by_kind = n.groupBy("kind").agg(F.sum("n").alias("kn"), F.sum("n_usual").alias("kn_usual"))
-    # A source with few texts of a kind is held against all sources.
-    enough = F.col("n") >= LEAST_TEXTS
-    endings = n.join(by_kind, "kind").select("source", "kind", (F.when(enough, F.col("n_usual") / F.col("n")).otherwise(F.col("kn_usual") / F.col("kn")) >= USUAL).alias("expects_ending"))
+    # A source with few texts of a kind is held against all sources; with few texts at all,
+    # the usual ending is taken for granted.
+    enough, some = F.col("n") >= LEAST_TEXTS, F.col("kn") >= LEAST_TEXTS
+    endings = n.join(by_kind, "kind").select("source", "kind", (F.when(enough, F.col("n_usual") / F.col("n")).when(some, F.col("kn_usual") / F.col("kn")).otherwise(1.0) >= USUAL).alias("expects_ending"))
     lengths = signs.where("n_chars > 0").groupBy("source", "n_chars").agg(F.count_distinct("text_hash").alias("n"))
     top = lengths.groupBy("source").agg(F.max("n_chars").alias("limit"), F.max_by("n", "n_chars").alias("n_full"))
     near = lengths.join(top, "source").where("n_chars >= 0.9 * limit and n_chars < limit").groupBy("source").agg(F.sum("n").alias("n_near"))
