@@ -33,7 +33,7 @@ def p1_state(spark: SparkSession, d: str) -> DataFrame:
     """The current rows themselves, as the members every table has."""
     s = cf.current_state(_all_changes(spark, d), _KEY, ("p_major", "p_minor"), cf.is_delete(F.col("op")), image=F.col("row_json"), feed=["feed"])
     row = F.from_json("image", "customer_id bigint, amount string, status string")
-    return s.select(*_KEY, row["customer_id"].alias("customer_id"), row["amount"].alias("amount"), row["status"].alias("status"))
+    return s.select(*_KEY, row["customer_id"].cast("string").alias("customer_id"), row["amount"].alias("amount"), row["status"].alias("status"))
 
 
 # 2: what changed between full snapshots
@@ -275,7 +275,7 @@ with marks as (
 
 ORACLE = {
     "p1_found": _CHANGES + "select feed, source_table, key_id, line_no, pos_major, pos_minor from latest where not gone",
-    "p1_state": _CHANGES + """select feed, source_table, key_id, line_no, try_cast(json_extract_string(row_json, '$.customer_id') as bigint) as customer_id,
+    "p1_state": _CHANGES + """select feed, source_table, key_id, line_no, cast(try_cast(json_extract_string(row_json, '$.customer_id') as bigint) as varchar) as customer_id,
         json_extract_string(row_json, '$.amount') as amount, json_extract_string(row_json, '$.status') as status from latest where not gone""",
     "p2_found": _SNAPSHOTS + "select * from found",
     "p2_counts": _SNAPSHOTS + """select contract_id, snapshot_no, count(*) filter (change = 'added') as insert_count, count(*) filter (change = 'changed') as update_count,

@@ -85,7 +85,8 @@ def hash_diff_unchanged_rerun(spark: SparkSession, d: str) -> DataFrame:
 def delete_missing_null_safe(spark: SparkSession, d: str) -> DataFrame:
     """Customers whose key the source still has; every 13th key is null on both sides."""
     c = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 13 != 0, F.col("c_custkey")).alias("c_custkey"), "c_name")
-    return hash_diff.delete_missing(c, c.where("c_custkey is null or c_custkey % 3 <> 0"), ["c_custkey"])
+    kept = hash_diff.delete_missing(c, c.where("c_custkey is null or c_custkey % 3 <> 0"), ["c_custkey"])
+    return kept.select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name")
 
 
 def merge_snapshot_state(spark: SparkSession, d: str) -> DataFrame:
@@ -269,7 +270,7 @@ def delta_artifact_rows(spark: SparkSession, d: str) -> DataFrame:
     text = lambda names: "struct<" + ",".join(f"{n}:string" for n in names) + ">"
     op = F.upper(F.trim("op"))
     shaped = raw.select("event_id", "event_ts", F.when(op.isin("D", "DELETE"), "DELETE").otherwise("UPSERT").alias("op"), F.from_json("key_json", text(_AUDITED.key_fields)).alias("key"), F.from_json("row_json", text(_AUDITED.fields)).alias("row"), F.lit(None).cast("string").alias("row_hash"))
-    return typed_delta(shaped, _AUDITED, delta.AUDIT).select("event_id", "op", "order_id", "customer_id", "status", "row_hash").distinct()
+    return typed_delta(shaped, _AUDITED, delta.AUDIT).select("event_id", "op", "order_id", F.col("customer_id").cast("string").alias("customer_id"), "status", "row_hash").distinct()
 
 
 # Change capture
@@ -430,7 +431,7 @@ ORACLE = {
     "hash_diff_orders_counts": _ORDERS_DIFF + f"select {_COUNTS} from diff",
     "hash_diff_unchanged_rerun": "select 0::bigint as insert_count, 0::bigint as update_count, count(*) as unchanged_count, 0::bigint as delete_count from orders",
     "delete_missing_null_safe": """with c as (select case when c_custkey % 13 <> 0 then c_custkey end as c_custkey, c_name from customer)
-        select * from c t where exists (select 1 from c s where (s.c_custkey is null or s.c_custkey % 3 <> 0) and s.c_custkey is not distinct from t.c_custkey)""",
+        select cast(c_custkey as varchar) as c_custkey, c_name from c t where exists (select 1 from c s where (s.c_custkey is null or s.c_custkey % 3 <> 0) and s.c_custkey is not distinct from t.c_custkey)""",
     "merge_snapshot_state": "select c_custkey, c_name, c_nationkey, c_mktsegment from customer",
     "changed_columns": "select c_custkey, concat_ws(',', case when c_custkey % 5 = 0 and c_mktsegment is not null then 'c_mktsegment' end, case when c_custkey % 7 = 0 and c_nationkey is not null then 'c_nationkey' end) as changed from customer",
     "validate_orders_errors": _DIRTY + "select id, field, code from f",
@@ -484,7 +485,7 @@ ORACLE = {
     "delta_artifact_rows": """
         with r as (select event_id, case when upper(trim(op)) in ('D', 'DELETE') then 'DELETE' else 'UPSERT' end as op, key_json, row_json from audit_delta where source_table = 'public.orders')
         select distinct event_id, op, coalesce(case when op = 'UPSERT' then try_cast(json_extract_string(row_json, '$.order_id') as bigint) end, try_cast(json_extract_string(key_json, '$.order_id') as bigint)) as order_id,
-          case when op = 'UPSERT' then try_cast(json_extract_string(row_json, '$.customer_id') as bigint) end as customer_id, case when op = 'UPSERT' then json_extract_string(row_json, '$.status') end as status,
+          case when op = 'UPSERT' then cast(try_cast(json_extract_string(row_json, '$.customer_id') as bigint) as varchar) end as customer_id, case when op = 'UPSERT' then json_extract_string(row_json, '$.status') end as status,
           case when op = 'UPSERT' then sha256(concat_ws('|', coalesce(json_extract_string(row_json, '$.customer_id'), '<NULL>'), coalesce(json_extract_string(row_json, '$.status'), '<NULL>'))) end as row_hash from r""",
     "cdc_txn_quarantine": "select event_id // 5 as txn, count(*) as n_events, count(*) filter (event_type = 'error') as n_invalid, count(*) filter (event_type = 'error') > 0 as quarantined from events group by 1",
     "cdc_latest_by_lsn": f"""select try_cast(json_extract_string(key_json, '$.shipment_id') as bigint) as shipment_id, op, {_LSN.format('commit_lsn')} as lsn, change_index from cdc_delta
