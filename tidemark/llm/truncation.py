@@ -41,6 +41,7 @@ _WORD = re.compile(r"\w+")
 _OPEN_END = re.compile(r"(?:[-+*/%=<>&|^,.(\[{\\:]|\b(?:in|and|or|not|is|if|else|elif|while|for|def|class|import|from|as|lambda|with|assert|del|global))\s*$")
 _PY_BODY = re.compile(r"^[ \t]+(?:assert |raise |return [\w.]+$|yield |\"{3}|'{3}|[\w.]+ = (?!.*;$)|[\w.]+\([^;{}]*\)$)")
 _PY_DICT = re.compile(r"^[ \t]*\w+ = (?:\{.*\}|\[.*\])$")
+_HEAD = re.compile(r"(?:def|class|if|elif|else|for|while|with|try|except|finally)\b(?! *=)")
 _LAST_STATEMENT = re.compile(r"^(?:return|raise|pass|yield|break|continue)\b")
 
 
@@ -203,7 +204,9 @@ def examine(text: str) -> tuple[str, str, bool, int, bool]:
             return kind, "open statement", True, core_length, bare
         if t.rstrip().endswith(statement) and _cut_word(_last_unit(t.rstrip())):
             return kind, "cut word", True, core_length, bare
-        if statement == "return" and re.search(r"^\s+return \S", t, re.M) and not re.search(r"^\s+return *\n", t, re.M):
+        if _HEAD.match(statement) and not statement.endswith(":") and ": " not in statement:
+            return kind, "open statement", True, core_length, bare
+        if statement == "return" and bare:
             return kind, "open statement", True, core_length, bare
         if last[0] not in " \t":
             return kind, "", not re.fullmatch(r"\w+(?: \w+)?|@[\w.]*", statement) or statement.startswith("import "), core_length, bare
@@ -222,7 +225,7 @@ def examine(text: str) -> tuple[str, str, bool, int, bool]:
     if len(re.findall(r"^\s*```", t, re.M)) % 2:
         return kind, "open markup", True, core_length, bare
     last = t.rstrip().rsplit("\n", 1)[-1].strip()
-    return kind, "", last.endswith((".", "!", "?", ")", '"', "|", "```", "-->", "</details>", "…")) and not last.startswith("#"), core_length, bare
+    return kind, "", last.endswith((".", "!", "?", ")", '"', "|", "```", "-->", "</details>")) and not last.startswith("#") and not dots, core_length, bare
 
 
 SIGNS = "doc_id long, source string, n_chars long, core_length long, kind string, cut string, ends_usually boolean, bare boolean, text_hash long"
