@@ -26,3 +26,10 @@ def test_leaks_against_brute_force(spark, sf_dir):
         for k in range(len(w) - n + 1):
             want |= {(i, r["doc_id"]) for i in runs.get(tuple(w[k : k + n]), ())}
     assert {tuple(r) for r in queries.p7_found(spark, sf_dir).collect()} == want
+
+
+def test_queries_on_empty_tables(spark, sf_dir, tmp_path):
+    d = str(tmp_path)
+    for t in ("documents", "eval_items", "mix_targets"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
+    assert {n: q(spark, d).count() for n, q in queries.QUERIES.items()} == dict.fromkeys(queries.QUERIES, 0)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -103,6 +104,16 @@ def test_odd_texts():
     assert examine("x" * 1_000_000)[1] == ""
 
 
+@pytest.mark.parametrize("text", [
+    "def f(a):\n    x = '" + "A" * 3_000_000 + "'\n    return a\n", "x" * 3_000_000 + "!", "\n" * 300_000 + "word.\n", " " * 1_000_000 + "]", "a /* b\n" * 100_000, "f({\n" * 100_000, "... " * 300_000,
+    "return 1;" + " " * 1_000_000 + "}\n}\n", "\"'`" * 200_000, "- a: b\n" * 200_000, "é" * 1_000_000, "\r\n" * 200_000 + "}",
+])
+def test_very_long_texts_take_seconds(text):
+    began = time.monotonic()
+    examine(text)
+    assert time.monotonic() - began < 20
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(*r, "clash", False) for r in rows], "doc_id long, text string, source string, kind string, truncated boolean")
 

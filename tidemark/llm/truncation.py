@@ -27,6 +27,8 @@ FULL_TEXTS, FULL_RATIO = 3, 5.0
 BLOCKS = (4096, 2048, 1024, 512, 256)
 BLOCK_TEXTS, BLOCK_SHARE = 3, 0.2
 MAX_BASELINES = 500_000
+#: Longer runs of letters are data, not words; and how far from the end a mark can stand.
+LONGEST_WORD, MARK_REACH = 200, 200
 
 _MARK = re.compile(r"\s*(?:\[(?:\.\.\.|…)?\s*(?:cut|truncated|snip|more)?\s*(?:\.\.\.|…)?\]|<(?:truncated|cut)>)\s*$", re.I)
 _DOTS = re.compile(r"(?:\.\.\.|…)\s*$")
@@ -138,11 +140,11 @@ def _without_comments(t: str, mark: str) -> list[str]:
 
 def _cut_word(t: str) -> bool:
     """Whether the last word occurs only there and begins another word of the unit."""
-    m = re.search(r"\w+\s*$", t)
-    if not m:
-        return False
-    last, before = m.group().strip(), t[: m.start()]
-    if last.isdigit():
+    begin = end = len(t.rstrip())
+    while begin and (t[begin - 1].isalnum() or t[begin - 1] == "_"):
+        begin -= 1
+    last, before = t[begin:end], t[:begin]
+    if not last or last.isdigit() or len(last) > LONGEST_WORD:
         return False
     return re.search(rf"\b{re.escape(last)}\b", before) is None and re.search(rf"\b{re.escape(last)}\w", before) is not None
 
@@ -156,17 +158,18 @@ def examine(text: str) -> tuple[str, str, bool, int, bool]:
     """
     t = text.replace("\r\n", "\n")
     core_length = len(text[:-1] if text.endswith("\n") else text)
-    marked = _MARK.search(t) if t.rstrip().endswith(("]", ">")) and re.search(r"\.\.\.|…|cut|trunc|snip", t[-24:], re.I) else None
-    dots = _DOTS.search(t)
+    tail = t[-MARK_REACH:]
+    marked = _MARK.search(tail) if tail.rstrip().endswith(("]", ">")) and re.search(r"\.\.\.|…|cut|trunc|snip", t[-24:], re.I) else None
+    dots = _DOTS.search(tail)
     bare = not text.endswith("\n")
     if not t.strip():
         return "empty", "", True, core_length, False
     if marked:
-        core_length = len(_MARK.sub("", text))
-        t = t[: marked.start()]
+        core_length = max(0, len(text) - MARK_REACH) + len(_MARK.sub("", text[-MARK_REACH:]))
+        t = t[: len(t) - len(tail) + marked.start()]
         return kind_of_text(t), "mark", True, core_length, True
     if dots:
-        core_length = len(_DOTS.sub("", text))
+        core_length = max(0, len(text) - MARK_REACH) + len(_DOTS.sub("", text[-MARK_REACH:]))
     kind = kind_of_text(t)
     if t.rstrip("\n").endswith("�"):
         return kind, "broken character", True, core_length, bare
@@ -181,12 +184,13 @@ def examine(text: str) -> tuple[str, str, bool, int, bool]:
         if left:
             return kind, f"open {left}", True, core_length, bare
         one_line = t.strip().count("\n") * 400 <= len(t)
-        lines = _without_comments(re.sub(r"/\*.*?\*/", "", t, flags=re.S), "//")
+        code = _BRACE.sub(lambda m: "" if m.group().startswith("/*") else m.group(), t) if "/*" in t else t
+        lines = _without_comments(code, "//")
         if not one_line and not lines:
             return kind, "", False, core_length, bare
         last = (t if one_line else lines[-1]).rstrip()
         if not one_line:
-            last = re.sub(r"\s+//[^\"'`]*$", "", last)
+            last = re.sub(r"(?<!\s)\s+//[^\"'`]*$", "", last)
         if dots and last.endswith(("...", "…")):
             return kind, "mark", True, core_length, True
         return kind, "", last.endswith(("}", "]")) if kind == "json" else last.endswith(("}", ";")) or last.startswith("#"), core_length, bare
@@ -222,7 +226,7 @@ def examine(text: str) -> tuple[str, str, bool, int, bool]:
         if ":" not in last and not last.lstrip().startswith("-"):
             return kind, "cut word", True, core_length, bare
         return kind, "", value[:1] in ('"', "'") and len(value) > 1, core_length, bare
-    if len(re.findall(r"^\s*```", t, re.M)) % 2:
+    if len(re.findall(r"^[ \t]*```", t, re.M)) % 2:
         return kind, "open markup", True, core_length, bare
     last = t.rstrip().rsplit("\n", 1)[-1].strip()
     return kind, "", last.endswith((".", "!", "?", ")", '"', "|", "```", "-->", "</details>")) and not last.startswith("#") and not dots, core_length, bare
