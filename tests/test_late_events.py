@@ -48,3 +48,12 @@ def test_nulls_and_empty_batches(spark):
     assert counts(o) == {(None, 10): (1, 0, 0), ("a", 10): (1, 0, 0)}
     assert o.add_batch(frame(spark, []), 2) == []
     assert counts(o) == {(None, 10): (1, 0, 0), ("a", 10): (1, 0, 0)}
+
+
+def test_only_empty_batches_and_an_earlier_store(spark):
+    o = op(spark)
+    assert o.add_batch(frame(spark, []), 1) == []
+    assert counts(o) == {} and o.events().count() == 0
+    o.add_batch(frame(spark, [(1, "a", 0, 1)]), 2)
+    again = LateEventCounts(spark, o.root, ["id"], ["tab"], "at", "seen")
+    assert counts(again) == counts(o) == {("a", 10): (1, 0, 0)} and again.events().count() == 1

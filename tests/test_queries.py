@@ -52,3 +52,26 @@ FOUND = {
 @pytest.mark.parametrize("name", sorted(FOUND))
 def test_found_columns(spark, sf_dir, name):
     assert ", ".join(f"{n} {t}" for n, t in QUERIES[name](spark, sf_dir).dtypes) == FOUND[name]
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, sf_dir, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("empty"))
+    for p in glob.glob(sf_dir + "/*.parquet"):
+        spark.read.parquet(p).limit(0).write.parquet(f"{d}/{os.path.basename(p)}")
+    return d
+
+
+@pytest.mark.parametrize("name", sorted(change_queries.QUERIES))
+def test_query_on_empty_tables(spark, empty_dir, name):
+    assert change_queries.QUERIES[name](spark, empty_dir).count() == 0
+
+
+def test_positions_do_not_depend_on_the_session_zone(spark, sf_dir, db):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        for name in ("p1_found", "p5_found", "p5_marks", "p4_found"):
+            got, want = QUERIES[name](spark, sf_dir).toPandas(), db.sql(ORACLE[name]).df()
+            assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns)), name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

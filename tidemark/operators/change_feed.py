@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.lsn import lsn_col
+from tidemark.functions.times import utc_micros
 
 POSITION_RANGES = 64
 
@@ -126,7 +127,7 @@ def normalise_audit(delta: DataFrame) -> DataFrame:
         "source_table",
         order_id.alias("key_id"),
         F.coalesce(line_no, F.lit(0).cast("bigint")).alias("line_no"),
-        F.unix_micros(F.col("event_ts").cast("timestamp")).alias("p_major"),
+        utc_micros(F.col("event_ts")).alias("p_major"),
         F.col("event_id").alias("p_minor"),
         F.col("op").alias("op"),
         F.col("row_json").alias("row_json"),

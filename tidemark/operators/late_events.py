@@ -43,6 +43,7 @@ class LateEventCounts:
         self.identity, self.group = list(identity), list(group)
         self.event_time, self.visible, self.period, self.grace = event_time, visible, period, grace
         self.raw_path, self.counts_path = f"{root}/raw", f"{root}/counts"
+        self._columns: dict[str, str] = {}
 
     def _classified(self, events: DataFrame) -> DataFrame:
         when = F.col(self.event_time).cast("timestamp")
@@ -64,8 +65,10 @@ class LateEventCounts:
         so a failed run is repeated as a whole.  An empty batch touches nothing.
         """
         target = f"{self.raw_path}/batch={int(batch_id)}"
-        (self._classified(batch).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(target))
-        touched = bounded_rows(self.raw().where(F.col("batch") == int(batch_id)).select("part").distinct(), MAX_TOUCHED) if path_exists(self.spark, target) else []
+        classified = self._classified(batch)
+        self._columns = {f.name: f.dataType.simpleString() for f in classified.schema}
+        classified.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(target)
+        touched = bounded_rows(self.spark.read.schema(self._ddl(self._columns)).parquet(target).select("part").distinct(), MAX_TOUCHED)
         if touched is None:
             raise ValueError(f"a batch may touch at most {MAX_TOUCHED} partitions; split it by event time")
         parts = sorted(str(r[0]) for r in touched)
@@ -73,13 +76,20 @@ class LateEventCounts:
             self.recompute(parts)
         return parts
 
-    def raw(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.raw_path).schema(self._raw_schema()).parquet(self.raw_path)
+    @staticmethod
+    def _ddl(columns: dict[str, str]) -> str:
+        return ", ".join(f"`{n}` {k}" for n, k in columns.items())
+
+    def _known(self) -> dict[str, str]:
+        """Columns of the raw events; of a store that an earlier process filled, as stored."""
+        if not self._columns:
+            stored = self.spark.read.option("basePath", self.raw_path).parquet(self.raw_path).schema
+            self._columns = {f.name: f.dataType.simpleString() for f in stored if f.name != "batch"} | {"part": "string"}
+        return self._columns
 
-    def _raw_schema(self) -> str:
-        seen = self.spark.read.option("basePath", self.raw_path).parquet(self.raw_path).schema
-        kinds = {f.name: f.dataType.simpleString() for f in seen} | {"batch": "bigint", "part": "string"}
-        return ", ".join(f"`{n}` {k}" for n, k in kinds.items())
+    def raw(self) -> DataFrame:
+        """Every retained delivery of every event."""
+        return self.spark.read.option("basePath", self.raw_path).schema(self._ddl(self._known() | {"batch": "bigint"})).parquet(self.raw_path)
 
     def events(self, parts: Sequence[str] | None = None) -> DataFrame:
         """The retained events of some partitions (all by default), each once."""
@@ -101,8 +111,12 @@ class LateEventCounts:
         counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.counts_path)
 
     def counts(self) -> DataFrame:
-        """Counts per group and period; before the first batch, a frame without rows."""
-        return self.spark.read.parquet(self.counts_path)
+        """Counts per group and period; no rows while no batch has had any event."""
+        known = self._known()
+        columns = {c: known[c] for c in self.group} | {"period_start": known["period_start"], "n_events": "bigint", "n_late": "bigint", "n_too_late": "bigint", "part": "string"}
+        if not path_exists(self.spark, self.counts_path):
+            return self.spark.createDataFrame([], self._ddl(columns))
+        return self.spark.read.schema(self._ddl(columns)).parquet(self.counts_path)
 
     def drop(self) -> None:
         delete_path(self.spark, self.root)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashes import row_hash64
 from tidemark.functions.lsn import lsn_col, lsn_text
+from tidemark.functions.times import utc_micros
 from tidemark.operators import change_feed as cf
 from tidemark.operators import drift, incremental, late_events, redelivery, snapshots
 from tidemark.session import bounded_rows, shared_dir
@@ -60,14 +61,16 @@ def _snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
         ids = sorted(i for spec, own in specs.items() if name in spec for i in own)
         return F.when(F.col("contract_id").isin(ids), F.col(name)) if ids else F.lit(None)
 
-    key = [of_contract("order_id", keyed), of_contract("line_no", keyed)]
+    # A column that isn't part of a contract's key isn't shown as one either.
+    rows = rows.withColumns({"key_order_id": of_contract("order_id", keyed).cast("bigint"), "key_line_no": of_contract("line_no", keyed).cast("bigint")})
+    key = [F.col("key_order_id"), F.col("key_line_no")]
     compared = row_hash64([of_contract(c, by_spec) for c in _VALUES], "values")
     first = [F.col("row_number_in_file"), F.col("delivery_no"), F.col("snapshot_at")]
-    return snapshots.snapshot_changes(rows, "contract_id", "snapshot_no", key, compared, first, ["order_id", "line_no"])
+    return snapshots.snapshot_changes(rows, "contract_id", "snapshot_no", key, compared, first, ["key_order_id", "key_line_no"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _snapshot_diff(spark, d).select("contract_id", "snapshot_no", "order_id", F.coalesce(F.col("line_no").cast("bigint"), F.lit(0).cast("bigint")).alias("line_no"), "change")
+    return _snapshot_diff(spark, d).select("contract_id", "snapshot_no", F.col("key_order_id").alias("order_id"), F.coalesce("key_line_no", F.lit(0).cast("bigint")).alias("line_no"), "change")
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +142,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 def _positions(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "audit_log")
     c = table(spark, d, "cdc_delta")
-    seen = F.unix_micros(F.coalesce("ordering_ts", "recorded_at").cast("timestamp"))
+    seen = utc_micros(F.coalesce("ordering_ts", "recorded_at"))
     audit = a.select(F.lit("audit").alias("feed"), "source_table", F.col("audit_event_id").alias("id_major"), F.lit(0).cast("bigint").alias("id_minor"), seen.alias("pos0"), F.col("audit_event_id").alias("pos1"), F.floor(seen / F.lit(86_400_000_000)).alias("segment"))
     end = F.coalesce(lsn_col(F.col("end_lsn")), lsn_col(F.col("commit_lsn")))
     cdc = c.select(F.lit("cdc").alias("feed"), "source_table", lsn_col(F.col("commit_lsn")).alias("id_major"), F.col("change_index").alias("id_minor"), end.alias("pos0"), F.lit(0).cast("bigint").alias("pos1"), F.floor(end / F.lit(1 << 30)).alias("segment"))
@@ -149,7 +152,7 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
 def furthest_marks(checkpoints: DataFrame) -> DataFrame:
     """The furthest position that a succeeded run noted, per feed and source table."""
     ok = checkpoints.where(F.lower(F.trim("status")) == "succeeded")
-    audit = ok.where("feed = 'audit' and ordering_ts is not null and event_id is not null").select("feed", "source_table", F.unix_micros(F.col("ordering_ts").cast("timestamp")).alias("m0"), F.col("event_id").alias("m1"))
+    audit = ok.where("feed = 'audit' and ordering_ts is not null and event_id is not null").select("feed", "source_table", utc_micros(F.col("ordering_ts")).alias("m0"), F.col("event_id").alias("m1"))
     cdc = ok.where("feed = 'cdc'").select("feed", "source_table", lsn_col(F.col("last_applied_lsn")).alias("m0"), F.lit(0).cast("bigint").alias("m1")).where("m0 is not null")
     m = audit.unionByName(cdc).groupBy("feed", "source_table").agg(F.max(F.struct("m0", "m1")).alias("m"))
     return m.select("feed", "source_table", "m.m0", "m.m1")
