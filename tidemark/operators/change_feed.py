@@ -97,8 +97,10 @@ def current_state(
     )
     usable = usable.where(" and ".join(f"`{c}` is not null" for c in [*key, "__p0", "__p1", "__live"]))
 
-    # The position ranges: one narrow pass that keeps a row per feed.
-    spans = (usable.groupBy(*feed) if feed else usable.groupBy()).agg(F.min("__p0").alias("lo"), F.max("__p0").alias("hi"))
+    # The position ranges: one pass over the positions alone that keeps a row per feed.
+    # Keys aren't looked at; a change that is left out can only make the ranges wider.
+    positions = changes.select(*feed, F.col(p0).cast("bigint").alias("__p0"))
+    spans = (positions.groupBy(*feed) if feed else positions.groupBy()).agg(F.min("__p0").alias("lo"), F.max("__p0").alias("hi"))
     cut = F.lit(0)
     for s in spans.collect():
         if s["lo"] is not None:
