@@ -23,7 +23,7 @@ NULL_TEXT = "<NULL>"
 SEPARATOR = "|"
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
 
@@ -33,7 +33,7 @@ def _scientific(text: Column) -> Column:
 
     def of(p: Column) -> Column:
         whole, every = p["whole"], F.concat(p["whole"], p["frac"])
-        return _let(
+        return let(
             F.struct(every.alias("every"), F.regexp_replace(every, "^0+", "").alias("led"), (F.length(whole) + p["exp"]).alias("at")),
             lambda q: F.struct(F.regexp_replace(q["led"], "0+$", "").alias("digits"), (q["at"] - F.length(q["every"]) + F.length(q["led"])).alias("point")),
         )
@@ -41,7 +41,7 @@ def _scientific(text: Column) -> Column:
     bare = F.regexp_replace(F.lower(text), "^-", "")
     mantissa = F.split_part(bare, F.lit("e"), F.lit(1))
     exponent = F.coalesce(F.regexp_replace(F.split_part(bare, F.lit("e"), F.lit(2)), r"\+", "").try_cast("int"), F.lit(0))
-    return _let(F.struct(F.split_part(mantissa, F.lit("."), F.lit(1)).alias("whole"), F.split_part(mantissa, F.lit("."), F.lit(2)).alias("frac"), exponent.alias("exp")), of)
+    return let(F.struct(F.split_part(mantissa, F.lit("."), F.lit(1)).alias("whole"), F.split_part(mantissa, F.lit("."), F.lit(2)).alias("frac"), exponent.alias("exp")), of)
 
 
 def _uncommon(c: Column, write) -> Column:
@@ -56,9 +56,9 @@ def _uncommon(c: Column, write) -> Column:
     def shortest(n: Column) -> Column:
         tried = F.array(*[F.format_string(f"%.{k}e", n["c"]) for k in range(17)])
         fewest = F.get(F.filter(tried, lambda t: t.try_cast("double") == n["c"]), 0)
-        return _let(F.coalesce(fewest, n["t"]), lambda t: _let(_scientific(t), lambda d: F.concat(F.when(n["t"].startswith("-"), "-").otherwise(""), write(d["digits"], d["point"]))))
+        return let(F.coalesce(fewest, n["t"]), lambda t: let(_scientific(t), lambda d: F.concat(F.when(n["t"].startswith("-"), "-").otherwise(""), write(d["digits"], d["point"]))))
 
-    return F.when(c.isNull() | common | F.isnan(c) | F.abs(c).isin(float("inf")), text).otherwise(_let(F.struct(c.alias("c"), text.alias("t")), shortest))
+    return F.when(c.isNull() | common | F.isnan(c) | F.abs(c).isin(float("inf")), text).otherwise(let(F.struct(c.alias("c"), text.alias("t")), shortest))
 
 
 def _positional(digits: Column, point: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.canonical import canonical_text
+from tidemark.functions.canonical import canonical_text, let
 from tidemark.functions.formats import matches_format, matches_pattern
 
 KEYWORDS = ("type", "const", "enum", "minLength", "maxLength", "pattern", "format", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "required", "additionalProperties", "properties", "minItems", "maxItems", "items")
@@ -42,10 +42,10 @@ def _json(value: Any) -> str:
 class _Value:
     """One value under test: its JSON type, and itself as text, number and variant."""
 
-    def __init__(self, c: Column, kind: T.DataType):
+    def __init__(self, c: Column, kind: T.DataType, shape: Column | None = None):
         self.c, self.kind = c, kind
         if isinstance(kind, T.VariantType):
-            shape = F.schema_of_variant(c)
+            shape = F.schema_of_variant(c) if shape is None else shape
             self.type = (
                 F.when(c.isNull() | (shape == "VOID"), "null")
                 .when(shape == "BOOLEAN", "boolean").when(shape == "STRING", "string")
@@ -130,8 +130,13 @@ class SchemaCompiler:
         return F.filter(F.array(*[F.when(cond, v) for cond, v in parts]), lambda x: x.isNotNull())
 
     def node(self, schema: Mapping[str, Any], c: Column, kind: T.DataType, path: Column, depth: int = 0) -> Column:
-        """array<VIOLATION> of a value that is present."""
-        v = _Value(c, kind)
+        """array<VIOLATION> of a value that is present; a variant is parsed once."""
+        if not isinstance(kind, T.VariantType):
+            return self._node(schema, _Value(c, kind), path, depth)
+        return let(F.struct(c.alias("c"), F.schema_of_variant(c).alias("shape")), lambda b: self._node(schema, _Value(b["c"], kind, b["shape"]), path, depth))
+
+    def _node(self, schema: Mapping[str, Any], v: _Value, path: Column, depth: int) -> Column:
+        kind = v.kind
         names = _type_names(schema)
         report = lambda code, constraint, reason, actual=v.shown: self._violation(schema, path, code, constraint, reason, actual)
         parts: list[tuple[Column, Column]] = []
@@ -200,7 +205,10 @@ class SchemaCompiler:
 
     def _object(self, schema: Mapping[str, Any], v: _Value, path: Column, depth: int) -> Column:
         props = schema["properties"] if isinstance(schema.get("properties"), Mapping) else {}
-        members = F.coalesce(v.c.try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+        all_members = F.coalesce(v.c.try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+        return let(all_members, lambda members: self._members(schema, props, members, path, depth))
+
+    def _members(self, schema: Mapping[str, Any], props: Mapping[str, Any], members: Column, path: Column, depth: int) -> Column:
         child = lambda name: F.concat(path, F.lit("."), F.lit(name) if isinstance(name, str) else name)
         needed = [n for n in schema.get("required") or [] if isinstance(n, str)] if isinstance(schema.get("required"), list) else []
         chunks = [self._listed([(~F.map_contains_key(members, n), self._violation(schema, child(n), "schema.required", f"required contains {_json(n)}", f"property {n} is absent", F.lit("<missing>"))) for n in needed])]
@@ -214,7 +222,10 @@ class SchemaCompiler:
         return F.concat(*chunks)
 
     def _array(self, schema: Mapping[str, Any], v: _Value, path: Column, depth: int) -> Column:
-        items = F.coalesce(v.c.try_cast("array<variant>"), F.array().cast("array<variant>"))
+        every = F.coalesce(v.c.try_cast("array<variant>"), F.array().cast("array<variant>"))
+        return let(every, lambda items: self._items(schema, v, items, path, depth))
+
+    def _items(self, schema: Mapping[str, Any], v: _Value, items: Column, path: Column, depth: int) -> Column:
         parts = []
         for key, code, broken, words in (("minItems", "schema.min_items", lambda n, b: n < b, "fewer"), ("maxItems", "schema.max_items", lambda n, b: n > b, "more")):
             b = schema.get(key)

@@ -13,7 +13,7 @@ from tidemark.contract.model import Contract
 from tidemark.functions.canonical import row_hash
 from tidemark.functions.lsn import lsn_col
 from tidemark.operators.hash_diff import classify, same_key
-from tidemark.operators.validate import NO_ERRORS, error, json_members, validated_json, validated_keys
+from tidemark.operators.validate import NO_ERRORS, error, json_members, judged_json, judged_keys
 
 
 @dataclass(frozen=True)
@@ -80,13 +80,12 @@ def normalize_events(events: DataFrame, contract: Contract, dialect: Dialect, op
     row, and unknown ops are errors; an event with errors gives no events.
     """
     after = F.col(row_after)
-    m_after = json_members(after)
-    m_old = json_members(old_key if old_key is not None else F.lit(None).cast("string"))
     nothing = F.create_map().cast("map<string,variant>")
-    row, row_errors = validated_json(F.coalesce(m_after, nothing), contract, strict_optional)
-    key, key_errors = validated_keys(F.coalesce(m_old, nothing), contract)
-    staged = events.withColumns({"__after": m_after.isNotNull(), "__old": (m_old.isNotNull() & (F.size(m_old) > 0))})
-    staged = staged.withColumns({"__row": row, "__row_errors": row_errors, "__key": key, "__key_errors": key_errors})
+    # Each step's columns are used several times by the next, so Catalyst computes them once.
+    parsed = events.withColumns({"__m_after": json_members(after), "__m_old": json_members(old_key if old_key is not None else F.lit(None).cast("string"))})
+    judged = parsed.withColumns({"__new": judged_json(F.coalesce("__m_after", nothing), contract, strict_optional), "__was": judged_keys(F.coalesce("__m_old", nothing), contract)})
+    judged = judged.withColumns({"__after": F.col("__m_after").isNotNull(), "__old": F.col("__m_old").isNotNull() & (F.size("__m_old") > 0)})
+    staged = judged.withColumns({"__row": F.col("__new.row"), "__row_errors": F.col("__new.errors"), "__key": F.col("__was.row"), "__key_errors": F.col("__was.errors")}).drop("__new", "__was", "__m_after", "__m_old")
     # The hash is taken over the coerced fields as columns of their own.
     flat = staged.select("*", *[F.col("__row").getField(f).alias(f"__f_{f}") for f in contract.fields])
     hashed = flat.withColumn("__hash", row_hash(flat, [f"__f_{f}" for f in contract.effective_hash_fields])).drop(*[f"__f_{f}" for f in contract.fields])
@@ -146,12 +145,15 @@ def extract_counts(normalized: DataFrame, transaction: Sequence[str] = ()) -> Da
 def delta_events(normalized: DataFrame, dialect: Dialect) -> DataFrame:
     """One row per normalised event: the dialect's columns, op, key, row, row_hash."""
     good = normalized.where(~F.col("quarantined")) if "quarantined" in normalized.columns else normalized
-    return good.where("events is not null").select(*dialect.event_columns, F.explode("events").alias("e")).select(*dialect.event_columns, "e.op", "e.key", "e.row", "e.row_hash")
+    # Filtered after the outer explode: a filter on the array would be pushed below the
+    # projection that makes it and have it made twice.
+    each = good.select(*dialect.event_columns, F.explode_outer("events").alias("e")).where("e is not null")
+    return each.select(*dialect.event_columns, "e.op", "e.key", "e.row", "e.row_hash")
 
 
 def event_errors(normalized: DataFrame, carry: Sequence[str]) -> DataFrame:
     """One row per error of the events, with the event's own columns."""
-    return normalized.where(F.size("errors") > 0).select(*carry, F.posexplode("errors").alias("error_index", "e")).select(*carry, "error_index", "e.*")
+    return normalized.select(*carry, F.posexplode_outer("errors").alias("error_index", "e")).where("e is not null").select(*carry, "error_index", "e.*")
 
 
 # Latest-wins apply

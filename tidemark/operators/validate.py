@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.contract.model import Contract
 from tidemark.contract.types import UNCOERCED, family, spark_type
-from tidemark.functions.canonical import row_hash
+from tidemark.functions.canonical import let, row_hash
 from tidemark.functions.coerce import DECIMAL_TEXT, FALSE_TEXT, INTEGER_TEXT, MESSAGES, TRUE_TEXT, coerce
 from tidemark.functions.hashes import row_hash64
 from tidemark.functions.schema_rules import root_violations
@@ -83,10 +83,10 @@ def json_members(text: Column) -> Column:
     return F.try_parse_json(text).try_cast("map<string,variant>")
 
 
-def coerce_variant(v: Column, contract_type: str | None) -> tuple[Column, Column | None, str | None]:
+def coerce_variant(v: Column, contract_type: str | None, shape: Column | None = None) -> tuple[Column, Column | None, str | None]:
     """(value, condition under which it is invalid, message) of a JSON member."""
     f, declared = family(contract_type), (contract_type or "").strip().lower()
-    shape = F.schema_of_variant(v)
+    shape = F.schema_of_variant(v) if shape is None else shape
     is_null = v.isNull() | (shape == "VOID")
     get = lambda kind: F.try_variant_get(v, "$", kind)
     text = F.when(shape == "BOOLEAN", F.initcap(get("string"))).when(shape.startswith("OBJECT") | shape.startswith("ARRAY"), F.to_json(v)).when(is_null, None).otherwise(get("string"))
@@ -108,34 +108,67 @@ def coerce_variant(v: Column, contract_type: str | None) -> tuple[Column, Column
     return value, ~is_null & value.isNull(), MESSAGES[f]
 
 
+def _member(members: Column, name: str, contract: Contract, is_key: bool) -> Column:
+    """struct(value, error) of one member; the variant and its type are looked at once."""
+
+    def judge(b: Column) -> Column:
+        v, shape = b["v"], b["shape"]
+        value, invalid, message = coerce_variant(v, contract.field_types.get(name), shape)
+        is_null = v.isNull() | (shape == "VOID")
+
+        def told(x: Column) -> Column:
+            e = F.when(~b["there"], error(name, "missing_field", f"{'Key field' if is_key else 'Field'} '{name}' is absent in extracted row"))
+            if is_key:
+                e = e.when(is_null, error(name, "null_key", f"Key field '{name}' must not be null"))
+            elif name in contract.required_fields:
+                e = e.when(is_null, error(name, "required_field", f"Field '{name}' must not be null"))
+            if message is not None:
+                e = e.when(~is_null & x["value"].isNull(), error(name, "invalid_value", message))
+            return F.struct(x["value"].alias("value"), e.alias("error"))
+
+        return let(F.struct(value.alias("value")), told)
+
+    v = members[name]
+    return let(F.struct(v.alias("v"), F.schema_of_variant(v).alias("shape"), F.map_contains_key(members, name).alias("there")), judge)
+
+
+def judged_json(members: Column, contract: Contract, strict_optional: bool = True) -> Column:
+    """struct(row, errors) of a row that came as a JSON object.
+
+    Kept as one column it is computed once, whatever reads its two parts.
+    """
+    kinds = {"integer": T.LongType(), "decimal": T.DecimalType(38, 18), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "date": T.DateType(), "binary": T.BinaryType()}
+    of = {f: kinds.get(family(contract.field_types.get(f)), T.StringType()) for f in contract.fields}
+    at = {f: f"f{i}" for i, f in enumerate(contract.fields)}
+
+    def judge(p: Column) -> Column:
+        values = {f: p[at[f]]["value"] for f in contract.fields}
+        errors = _row_errors(contract, [p[at[f]]["error"] for f in contract.fields], values, of, strict_optional)
+        return F.struct(F.struct(*[values[f].alias(f) for f in contract.fields]).alias("row"), errors.alias("errors"))
+
+    return let(members, lambda m: let(F.struct(*[_member(m, f, contract, False).alias(at[f]) for f in contract.fields]), judge))
+
+
+def judged_keys(members: Column, contract: Contract) -> Column:
+    """struct(row, errors) of the key part of a JSON object; the schema isn't applied."""
+    at = {f: f"f{i}" for i, f in enumerate(contract.key_fields)}
+
+    def judge(p: Column) -> Column:
+        return F.struct(F.struct(*[p[at[f]]["value"].alias(f) for f in contract.key_fields]).alias("row"), _listed([p[at[f]]["error"] for f in contract.key_fields]).alias("errors"))
+
+    return let(members, lambda m: let(F.struct(*[_member(m, f, contract, True).alias(at[f]) for f in contract.key_fields]), judge))
+
+
 def validated_json(members: Column, contract: Contract, strict_optional: bool = True) -> tuple[Column, Column]:
     """(normalized struct, errors) of a row that came as a JSON object."""
-    basic, values = [], {}
-    kinds = {"integer": T.LongType(), "decimal": T.DecimalType(38, 18), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "date": T.DateType(), "binary": T.BinaryType()}
-    for f in contract.fields:
-        v = members[f]
-        value, invalid, message = coerce_variant(v, contract.field_types.get(f))
-        values[f] = value
-        c = F.when(~F.map_contains_key(members, f), error(f, "missing_field", f"Field '{f}' is absent in extracted row"))
-        if f in contract.required_fields:
-            c = c.when(v.isNull() | (F.schema_of_variant(v) == "VOID"), error(f, "required_field", f"Field '{f}' must not be null"))
-        if invalid is not None:
-            c = c.when(invalid, error(f, "invalid_value", message))
-        basic.append(c)
-    errors = _row_errors(contract, basic, values, {f: kinds.get(family(contract.field_types.get(f)), T.StringType()) for f in contract.fields}, strict_optional)
-    return F.struct(*[values[f].alias(f) for f in contract.fields]), errors
+    both = judged_json(members, contract, strict_optional)
+    return both["row"], both["errors"]
 
 
 def validated_keys(members: Column, contract: Contract) -> tuple[Column, Column]:
-    """(key struct, errors) of the key part of a JSON object; the schema isn't applied."""
-    basic, values = [], []
-    for f in contract.key_fields:
-        v = members[f]
-        value, invalid, message = coerce_variant(v, contract.field_types.get(f))
-        values.append(value.alias(f))
-        c = F.when(~F.map_contains_key(members, f), error(f, "missing_field", f"Key field '{f}' is absent in extracted row")).when(v.isNull() | (F.schema_of_variant(v) == "VOID"), error(f, "null_key", f"Key field '{f}' must not be null"))
-        basic.append(c.when(invalid, error(f, "invalid_value", message)) if invalid is not None else c)
-    return F.struct(*values), _listed(basic)
+    """(key struct, errors) of the key part of a JSON object."""
+    both = judged_keys(members, contract)
+    return both["row"], both["errors"]
 
 
 def numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -191,7 +224,7 @@ def with_duplicates(validated: DataFrame, contract: Contract, order: Sequence[Co
 
 def error_rows(validated: DataFrame, carry: Sequence[str] = ("row_number",)) -> DataFrame:
     """One row per error, with its place in the row's list."""
-    return validated.where(F.size("errors") > 0).select(*carry, F.posexplode("errors").alias("error_index", "e")).select(*carry, "error_index", "e.*")
+    return validated.select(*carry, F.posexplode_outer("errors").alias("error_index", "e")).where("e is not null").select(*carry, "error_index", "e.*")
 
 
 def accepted_rows(validated: DataFrame, contract: Contract, hash_input: str = "normalized") -> DataFrame:
