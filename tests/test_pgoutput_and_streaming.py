@@ -1,5 +1,8 @@
+import itertools
 import json
+import os
 import struct
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +131,107 @@ def test_counts_follow_a_stream(spark, tmp_path):
             make(late).write.mode("append").parquet(src)
         count_stream(spark.readStream.schema(make([]).schema).parquet(src), o, ckpt).awaitTermination(120)
     assert [(r["n_events"], r["n_late"]) for r in o.counts().collect()] == [(2, 1)]
+
+
+class FakeSlot:
+    """Stands for psycopg2's connection and cursor; one message, or None, per read."""
+
+    def __init__(self, reads, wal_end=0):
+        self.reads, self.wal_end = list(reads), wal_end
+
+    def cursor(self):
+        return self
+
+    def close(self):
+        pass
+
+    def start_replication(self, **options):
+        pass
+
+    def read_message(self):
+        if not self.reads:
+            return None
+        step = self.reads.pop(0)
+        if isinstance(step, int):  # a keepalive
+            self.wal_end = step
+            return None
+        self.wal_end = step[0]
+        return SimpleNamespace(data_start=step[0], payload=step[1])
+
+
+class SlotOf(replication.SlotClient):
+    def __init__(self, reads, **options):
+        super().__init__({"dsn": "", "slot": "s", "publication": "p", **options})
+        self.reads = reads
+
+    def _connect(self, replication):
+        return FakeSlot(self.reads)
+
+
+TRANSACTION = [(10, begin(7)), (12, change("I", b"N", tup("1", "a"))), (20, commit(15, 20))]
+
+
+@pytest.fixture
+def clock(monkeypatch):
+    """Every look at the clock takes a second; waiting takes none."""
+    now = itertools.count()
+    monkeypatch.setattr(replication, "time", SimpleNamespace(monotonic=lambda: float(next(now))))
+    monkeypatch.setattr(replication.select, "select", lambda *a: None)
+
+
+@pytest.mark.parametrize("options", [{"max_seconds": "4"}, {"max_seconds": "1000", "idle_seconds": "5"}])
+@pytest.mark.parametrize("reads", [TRANSACTION, TRANSACTION[:2], []])
+def test_a_slot_read_that_stops_early_fails(clock, reads, options):
+    with pytest.raises(replication.WindowNotReached):
+        list(SlotOf(reads, **options).messages("0/0", "0/40"))
+
+
+@pytest.mark.parametrize("reads, n", [([*TRANSACTION, 0x40], 3), ([0x40], 0), ([*TRANSACTION, (0x50, begin(8)), (0x51, b"I")], 3)])
+def test_a_slot_read_ends_at_the_windows_end(clock, reads, n):
+    assert len(list(SlotOf(reads, max_seconds="100").messages("0/0", "0/40"))) == n
+    assert len(list(SlotOf(TRANSACTION, max_seconds="8").messages("0/0", "0/14"))) == 3
+
+
+def stopping_source():
+    """Local classes, so that workers needn't import this file; fails while ``STOP`` is there."""
+
+    class Reader(replication.SlotStreamReader):
+        def read(self, partition):
+            for i, row in enumerate(replication.SlotStreamReader.read(self, partition)):
+                if i == 5 and os.path.exists(os.path.join(self.options["path"], "STOP")):
+                    raise replication.WindowNotReached("time is over")
+                yield row
+
+    class Source(replication.PgOutputSource):
+        @classmethod
+        def name(cls):
+            return "stopping"
+
+        def streamReader(self, schema):
+            return Reader(self.options)
+
+    return Source
+
+
+def test_a_window_read_in_part_is_not_acknowledged_and_read_again(spark, tmp_path):
+    plain = [relation(), begin(7), change("I", b"N", tup("1", "a")), commit(50), begin(8), change("I", b"N", tup("2", "b")), commit(60)]
+    lsns = ["0/10", *["0/32"] * 3, *["0/3C"] * 3]
+    (tmp_path / "cap.jsonl").write_text("".join(json.dumps({"lsn": x, "data": m.hex()}) + "\n" for x, m in zip(lsns, plain)))
+    (tmp_path / "STOP").write_text("")
+    spark.dataSource.register(stopping_source())
+    options = {"client": "tidemark.sources.replication:FolderClient", "path": str(tmp_path)}
+    t, ckpt = store.VersionedTable(spark, shared_dir(spark, "t"), C), shared_dir(spark, "ckpt")
+
+    def run():
+        q = apply_stream(spark.readStream.format("stopping").options(**options).load(), t, d.CDC, ckpt, prepare=lambda b: shaped(pg.decode_messages(b, "public.orders")), available_now=False)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    with pytest.raises(Exception, match="time is over"):
+        run()
+    assert not (tmp_path / "ACK").exists() and not t.version()
+    (tmp_path / "STOP").unlink()
+    run()
+    assert sorted((r["id"], r["status"]) for r in t.curated().collect()) == [(1, "a"), (2, "b")]

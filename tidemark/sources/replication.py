@@ -2,7 +2,8 @@
 
 The source asks a client for messages; which one is named by the option ``client`` as
 ``module:factory``.  Offsets are log positions; the slot is acknowledged only when Spark
-has committed a batch, so a batch that fails is read again.
+has committed a batch, so a batch that fails is read again.  A read that stops before its
+window's end fails: what Spark commits and the slot is told is always the whole window.
 """
 
 from __future__ import annotations
@@ -24,13 +25,20 @@ from tidemark.functions.lsn import int_to_lsn, lsn_to_int
 SCHEMA = "capture string, seq long, wal_end string, data binary"
 
 
+class WindowNotReached(RuntimeError):
+    """Reading stopped before the window's end; messages may be missing."""
+
+
 class ReplicationClient(Protocol):
     """What the source needs of a connection."""
 
     def current_lsn(self) -> str: ...
 
     def messages(self, start: str, end: str) -> Iterator[tuple[str, bytes]]:
-        """(position, message) after ``start``, up to the first COMMIT beyond ``end``."""
+        """(position, message) after ``start``, up to the first COMMIT beyond ``end``.
+
+        Ends only when ``end`` was reached, else raises WindowNotReached.
+        """
 
     def acknowledge(self, lsn: str) -> None: ...
 
@@ -61,7 +69,11 @@ class FolderClient:
 
 
 class SlotClient:
-    """A live slot through psycopg2, where that is installed."""
+    """A live slot through psycopg2, where that is installed.
+
+    A window that isn't read within ``max_seconds``, or a server that is silent for
+    ``idle_seconds`` before its end, fails the read; nothing is acknowledged then.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.dsn, self.slot, self.publication = options["dsn"], options["slot"], options["publication"]
@@ -99,15 +111,20 @@ class SlotClient:
             while time.monotonic() - began < self.max_seconds:
                 msg = cur.read_message()
                 if msg is None:
-                    idle = time.monotonic() - heard
-                    if cur.wal_end >= hi or (self.idle_seconds and idle >= self.idle_seconds):
+                    if cur.wal_end >= hi:
                         return
+                    if self.idle_seconds and time.monotonic() - heard >= self.idle_seconds:
+                        raise WindowNotReached(f"slot {self.slot}: nothing came for {self.idle_seconds:g} s (idle_seconds) at {int_to_lsn(cur.wal_end)}, before the window's end {end}")
                     select.select([cur], [], [], 0.2)
                     continue
                 heard = time.monotonic()
                 if msg.data_start > hi and msg.payload[:1] == b"B":
                     return
                 yield int_to_lsn(msg.data_start), bytes(msg.payload)
+            # Transactions come in the order of their COMMITs: a position at the end or
+            # beyond belongs to the window's last transaction, read whole, or to a later one.
+            if cur.wal_end < hi:
+                raise WindowNotReached(f"slot {self.slot}: {self.max_seconds:g} s (max_seconds) were over at {int_to_lsn(cur.wal_end)}, before the window's end {end}; give a greater max_seconds")
         finally:
             conn.close()
 
