@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.contract.model import Contract
 from tidemark.operators import delta as d
 from tidemark.operators.late_events import LateEventCounts
-from tidemark.operators.pipelines import typed_delta
+from tidemark.operators.pipelines import land_cdc_delta, typed_delta
 from tidemark.session import shared_dir
 from tidemark.sources import pgoutput as pg
 from tidemark.sources import replication, store
@@ -192,6 +192,21 @@ def test_a_slot_read_ends_at_the_windows_end(clock, reads, n):
     assert len(list(SlotOf(TRANSACTION, max_seconds="8").messages("0/0", "0/14"))) == 3
 
 
+def stopping_client(options):
+    """A folder whose reading stops before the window's end while ``STOP`` is there."""
+    client = replication.FolderClient(options)
+    whole, stop_at = client.messages, int(options.get("stop_at", 5))
+
+    def messages(start, end):
+        for i, m in enumerate(whole(start, end)):
+            if i == stop_at and os.path.exists(os.path.join(client.folder, "STOP")):
+                raise replication.WindowNotReached("time is over")
+            yield m
+
+    client.messages = messages
+    return client
+
+
 def stopping_source():
     """Local classes, so that workers needn't import this file; fails while ``STOP`` is there."""
 
@@ -235,3 +250,25 @@ def test_a_window_read_in_part_is_not_acknowledged_and_read_again(spark, tmp_pat
     (tmp_path / "STOP").unlink()
     run()
     assert sorted((r["id"], r["status"]) for r in t.curated().collect()) == [(1, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize("stop_at, checkpoint", [(2, "0/1"), (5, "0/33"), (7, "0/3D")])
+def test_a_checkpoint_does_not_pass_what_was_not_read(spark, tmp_path, stop_at, checkpoint):
+    plain = [relation(), begin(7), change("I", b"N", tup("1", "a")), commit(50), begin(8), change("I", b"N", tup("2", "b")), commit(60)]
+    lsns = ["0/10", *["0/32"] * 3, *["0/3C"] * 3]
+    (tmp_path / "cap.jsonl").write_text("".join(json.dumps({"lsn": x, "data": m.hex()}) + "\n" for x, m in zip(lsns, plain)))
+    (tmp_path / "STOP").write_text("")
+    spark.sparkContext.addPyFile(__file__)
+    read = replication.land_messages(spark, {"client": f"{__name__}:stopping_client", "path": str(tmp_path), "stop_at": str(stop_at)}, shared_dir(spark, "messages"))
+    assert read["reached_window_end"] is (stop_at == 7) and read["messages"].where("data is not null").count() == stop_at
+    r = land_cdc_delta(pg.decode_messages(read["messages"], "public.orders"), C, shared_dir(spark, "delta"), None, read["end_lsn"], read["reached_window_end"])
+    assert r["reached_window_end"] is (stop_at == 7) and d.resolve_checkpoint_lsn("0/1", r, None) == checkpoint
+
+
+def test_a_window_end_counts_as_reached_only_if_known(spark):
+    ev = pg.decode_messages(messages(spark, STREAM), "public.orders")
+    land = lambda end, **known: land_cdc_delta(ev, C, shared_dir(spark, "delta"), "1/9", end, **known)
+    unknown = land("1/F")
+    assert unknown["source_event_count"] == 0 and d.resolve_checkpoint_lsn("1/9", unknown, None) == "1/9"
+    assert d.resolve_checkpoint_lsn("1/9", land("1/F", reached_window_end=True), None) == "1/F"
+    assert land("1/9")["reached_window_end"] is True and land("1/9", reached_window_end=False)["reached_window_end"] is False

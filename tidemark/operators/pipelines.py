@@ -171,14 +171,19 @@ def land_audit_delta(audit: DataFrame, contract: Contract, out: str, start: dict
     return _land(normalized, contract, d.AUDIT, out, ["event_id", "op", "event_ts"], [], {"window_start": start, "window_end": end, "watermark_mode": mode})
 
 
-def land_cdc_delta(events: DataFrame, contract: Contract, out: str, start_lsn: str | None = None, end_lsn: str | None = None) -> dict[str, Any]:
+def land_cdc_delta(events: DataFrame, contract: Contract, out: str, start_lsn: str | None = None, end_lsn: str | None = None, reached_window_end: bool | None = None) -> dict[str, Any]:
     """Lands decoded changes of a window; a transaction with any error is quarantined whole.
 
     ``events``: op, commit_lsn, end_lsn, change_index, xid, commit_ts, old_key and
     row_after (JSON text), as ``sources.pgoutput.decode_messages`` gives them.
+    ``reached_window_end`` is what the reader says (``sources.replication.land_messages``).
+    Left out, the end counts as reached only if ``events`` has a commit at it or beyond,
+    which come in order; else the checkpoint would pass over what wasn't read.
     """
     contract.check()
     lsn = lsn_col(F.col("commit_lsn"))
+    if reached_window_end is None:
+        reached_window_end = bool(end_lsn) and not events.where(lsn >= lsn_col(F.lit(end_lsn))).isEmpty()
     part = events
     if start_lsn:
         part = part.where(lsn > lsn_col(F.lit(start_lsn)))
@@ -186,7 +191,7 @@ def land_cdc_delta(events: DataFrame, contract: Contract, out: str, start_lsn: s
         part = part.where(lsn <= lsn_col(F.lit(end_lsn)))
     decoded = part.agg(F.max_by("end_lsn", F.struct(lsn, "change_index")).alias("last")).first()["last"]
     normalized = d.quarantine_transactions(d.normalize_events(part, contract, d.CDC, old_key=F.col("old_key")), ["commit_lsn", "xid"])
-    return _land(normalized, contract, d.CDC, out, ["commit_lsn", "change_index", "op"], ["commit_lsn", "xid"], {"window_start_lsn": start_lsn, "window_end_lsn": end_lsn, "last_decoded_lsn": decoded, "reached_window_end": True})
+    return _land(normalized, contract, d.CDC, out, ["commit_lsn", "change_index", "op"], ["commit_lsn", "xid"], {"window_start_lsn": start_lsn, "window_end_lsn": end_lsn, "last_decoded_lsn": decoded, "reached_window_end": reached_window_end})
 
 
 def read_delta(spark: SparkSession, path: str, contract: Contract, dialect: d.Dialect) -> DataFrame:

@@ -15,8 +15,9 @@ import os
 import select
 import time
 from collections.abc import Iterator
-from typing import Protocol
+from typing import Any, Protocol
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -151,10 +152,21 @@ class _Window(InputPartition):
 class _Reader:
     options: dict[str, str]
 
+    #: Whether a read that stops early gives what it has, without the mark, or fails.
+    partial = False
+
     def read(self, partition: _Window):
-        capture = f"{partition.start}-{partition.end}"
-        for seq, (lsn, data) in enumerate(open_client(self.options).messages(partition.start, partition.end)):
-            yield capture, seq, lsn, data
+        """The messages, and at last a mark without data that the window's end was reached."""
+        capture, seq = f"{partition.start}-{partition.end}", 0
+        try:
+            for lsn, data in open_client(self.options).messages(partition.start, partition.end):
+                yield capture, seq, lsn, data
+                seq += 1
+        except WindowNotReached:
+            if not self.partial:
+                raise
+        else:
+            yield capture, seq, partition.end, None
 
 
 class SlotStreamReader(_Reader, DataSourceStreamReader):
@@ -177,10 +189,14 @@ class SlotStreamReader(_Reader, DataSourceStreamReader):
 
 
 class SlotPeekReader(_Reader, DataSourceReader):
-    """The same messages as a batch; nothing is acknowledged."""
+    """The same messages as a batch; nothing is acknowledged.
+
+    With the option ``partial`` set to true a read that stops early gives what it has.
+    """
 
     def __init__(self, options):
         self.options = dict(options)
+        self.partial = str(self.options.get("partial", "")).lower() == "true"
 
     def partitions(self):
         return [_Window(self.options.get("start_lsn", "0/0"), self.options.get("end_lsn") or open_client(self.options).current_lsn())]
@@ -201,6 +217,20 @@ class PgOutputSource(DataSource):
         return SlotStreamReader(self.options)
 
 
+def land_messages(spark: SparkSession, options: dict[str, str], out: str) -> dict[str, Any]:
+    """Reads a window once and lands its messages as Parquet.
+
+    Gives ``messages`` (the landed frame), ``start_lsn``, ``end_lsn`` and
+    ``reached_window_end``, as ``operators.pipelines.land_cdc_delta`` takes them.  The
+    flag is taken from the landed rows: a second read could get further than the first.
+    """
+    register(spark)
+    start, end = options.get("start_lsn", "0/0"), options.get("end_lsn") or open_client(options).current_lsn()
+    spark.read.format("pgoutput").options(**{"partial": "true", **options, "start_lsn": start, "end_lsn": end}).load().write.parquet(out)
+    messages = spark.read.parquet(out)
+    return {"messages": messages, "start_lsn": start, "end_lsn": end, "reached_window_end": not messages.where("data is null").isEmpty()}
+
+
 def register(spark) -> None:
     """Makes the source known to a session."""
     spark.dataSource.register(PgOutputSource)
