@@ -138,5 +138,23 @@ def test_baselines_over_all_documents(spark):
     assert by["field"]["n_truncated"] == 13 and by["big"]["n_documents"] == 121
 
 
+@pytest.mark.parametrize("n", [1, 19, 20, 60])
+@pytest.mark.parametrize("others", [0, 40])
+def test_a_source_that_cuts_much_is_found_at_any_size(spark, n, others):
+    text = lambda i: PROSE.replace("Head", f"Head{i}")
+    n_cut = (n + 1) // 2
+    rows = [(i, text(i)[:-12] if i < n_cut else text(i), "cutter") for i in range(n)]
+    rows += [(1000 + i, text(i), "clean") for i in range(others)]
+    judged = {r["doc_id"] for r in judged_documents(docs(spark, rows)).where("truncated").collect()}
+    assert judged == set(range(n_cut))
+
+
+@pytest.mark.parametrize("others", [0, 40])
+def test_a_kind_that_really_ends_otherwise_is_not_cut(spark, others):
+    text = lambda i: f"# Head{i}\n\nSome words stand here and end.\n\n- a last point\n"
+    rows = [(i, text(i), "here") for i in range(40)] + [(1000 + i, text(i), "there") for i in range(others)]
+    assert judged_documents(docs(spark, rows)).where("truncated").count() == 0
+
+
 def test_empty_table(spark):
     assert judged_documents(docs(spark, [])).count() == 0

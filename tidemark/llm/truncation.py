@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.mixing import source_name
 from tidemark.session import bounded_rows, shared_dir
 
-#: Share of texts of a kind that end in a usual way from which another ending is a cut.
+#: Share of texts of a kind that end in a usual way from which another ending is a cut, and
+#: from how many texts of other sources on that is asked of them.
 USUAL, LEAST_TEXTS = 0.8, 20
 #: Texts that fill a field to the same greatest length, and their number against chance.
 FULL_TEXTS, FULL_RATIO = 3, 5.0
@@ -254,12 +255,15 @@ def _baselines(signs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """How texts usually end, full field lengths, and block sizes, by source."""
     spark = signs.sparkSession
     whole = signs.where("cut = ''")
-    n = whole.groupBy("source", "kind").agg(F.count("*").alias("n"), F.count_if("ends_usually").alias("n_usual"))
+    n = whole.groupBy("source", "kind").agg(F.count("*").alias("n"), F.count_if("ends_usually").alias("n_usual"), F.count_if(~F.col("bare")).alias("l"), F.count_if(F.col("ends_usually") & ~F.col("bare")).alias("l_usual"))
     by_kind = n.groupBy("kind").agg(F.sum("n").alias("kn"), F.sum("n_usual").alias("kn_usual"))
-    # A source with few texts of a kind is held against all sources; with few texts at all,
-    # the usual ending is taken for granted.
-    enough, some = F.col("n") >= LEAST_TEXTS, F.col("kn") >= LEAST_TEXTS
-    endings = n.join(by_kind, "kind").select("source", "kind", (F.when(enough, F.col("n_usual") / F.col("n")).when(some, F.col("kn_usual") / F.col("kn")).otherwise(1.0) >= USUAL).alias("expects_ending"))
+    # A source that truncates much of a kind misses the share as one does whose texts really
+    # end otherwise; all other sources tell them apart, whatever the source's own size. Where
+    # they have too few texts, its texts that end in a line break, which cuts rarely do, tell.
+    others, own = F.col("kn") - F.col("n"), F.col("n_usual") < USUAL * F.col("n")
+    by_others = F.col("kn_usual") - F.col("n_usual") < USUAL * others
+    by_lines = F.col("l_usual") < USUAL * F.col("l")
+    endings = n.join(by_kind, "kind").select("source", "kind", (~(own & F.when(others >= LEAST_TEXTS, by_others).otherwise(by_lines))).alias("expects_ending"))
     lengths = signs.where("n_chars > 0").groupBy("source", "n_chars").agg(F.count_distinct("text_hash").alias("n"))
     top = lengths.groupBy("source").agg(F.max("n_chars").alias("limit"), F.max_by("n", "n_chars").alias("n_full"))
     near = lengths.join(top, "source").where("n_chars >= 0.9 * limit and n_chars < limit").groupBy("source").agg(F.sum("n").alias("n_near"))
