@@ -156,5 +156,13 @@ def test_a_kind_that_really_ends_otherwise_is_not_cut(spark, others):
     assert judged_documents(docs(spark, rows)).where("truncated").count() == 0
 
 
+@pytest.mark.parametrize("longer", [PY + "\n\ndef g(a):\n    return a\n" * 40, PY[:300] + "x" * 400 + "\n[... cut]"])
+def test_one_longer_text_does_not_hide_a_field_limit(spark, longer):
+    whole = lambda i: f"# {i:04d}\n" + PY.replace("a comment", "a comment" + "x" * 100).rstrip("\n")
+    rows = [(i, whole(i), "field") for i in range(12)] + [(100, longer, "field")]
+    judged = {r["doc_id"]: r["reason"] for r in judged_documents(docs(spark, rows)).collect()}
+    assert all(judged[i] == "full field" for i in range(12))
+
+
 def test_empty_table(spark):
     assert judged_documents(docs(spark, [])).count() == 0

@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import source_name
@@ -23,8 +23,10 @@ from tidemark.session import bounded_rows, shared_dir
 #: Share of texts of a kind that end in a usual way from which another ending is a cut, and
 #: from how many texts of other sources on that is asked of them.
 USUAL, LEAST_TEXTS = 0.8, 20
-#: Texts that fill a field to the same greatest length, and their number against chance.
+#: Texts that fill a field to the same length, and their number against chance.
 FULL_TEXTS, FULL_RATIO = 3, 5.0
+#: Lengths to either side whose texts tell what chance would give.
+NEAR = 100
 BLOCKS = (4096, 2048, 1024, 512, 256)
 BLOCK_TEXTS, BLOCK_SHARE = 3, 0.2
 MAX_BASELINES = 500_000
@@ -264,12 +266,15 @@ def _baselines(signs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     by_others = F.col("kn_usual") - F.col("n_usual") < USUAL * others
     by_lines = F.col("l_usual") < USUAL * F.col("l")
     endings = n.join(by_kind, "kind").select("source", "kind", (~(own & F.when(others >= LEAST_TEXTS, by_others).otherwise(by_lines))).alias("expects_ending"))
-    lengths = signs.where("n_chars > 0").groupBy("source", "n_chars").agg(F.count_distinct("text_hash").alias("n"))
-    top = lengths.groupBy("source").agg(F.max("n_chars").alias("limit"), F.max_by("n", "n_chars").alias("n_full"))
-    near = lengths.join(top, "source").where("n_chars >= 0.9 * limit and n_chars < limit").groupBy("source").agg(F.sum("n").alias("n_near"))
-    full = top.join(near, "source", "left").where(
-        (F.col("n_full") >= FULL_TEXTS) & (F.col("n_full") >= FULL_RATIO * F.greatest(F.lit(1.0), F.coalesce("n_near", F.lit(0)) / (0.1 * F.col("limit"))))
-    ).select("source", "limit")
+    # A field can have had several limits, and a mark can stand after what filled it: below
+    # the greatest length, one counts if its bare texts stand out against all near it, more
+    # clearly, as there are many lengths at which chance could do so.
+    lengths = signs.where("core_length > 0").groupBy("source", "core_length").agg(F.count_distinct("text_hash").alias("n"), F.count_distinct(F.when(F.col("bare"), F.col("text_hash"))).alias("n_bare"))
+    by_source = Window.partitionBy("source")
+    near = by_source.orderBy("core_length").rangeBetween(-NEAR, NEAR)
+    chance = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
+    least = F.greatest(F.lit(1.0), F.when(F.col("core_length") == F.max("core_length").over(by_source), 2 * chance).otherwise(FULL_RATIO * chance))
+    full = lengths.withColumn("least", FULL_RATIO * least).where((F.col("n_bare") >= FULL_TEXTS) & (F.col("n_bare") >= F.col("least"))).select("source", F.col("core_length").alias("limit"))
     cut = signs.where("cut <> '' and bare")
     blocks = cut.groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.col("core_length") % b == 0).alias(f"b{b}") for b in BLOCKS])
     size = F.lit(None).cast("int")
@@ -295,12 +300,12 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     signs_of_truncation(documents).write.parquet(path)
     signs = spark.read.parquet(path)
     endings, full, blocks = _baselines(signs)
-    j = signs.join(endings, ["source", "kind"], "left").join(full, "source", "left").join(blocks, "source", "left")
+    j = signs.join(endings, ["source", "kind"], "left").join(full.withColumnRenamed("limit", "core_length").withColumn("full", F.lit(True)), ["source", "core_length"], "left").join(blocks, "source", "left")
     reason = (
         F.when(F.col("kind") == "empty", "")
         .when(F.col("cut") != "", F.col("cut"))
         .when(~F.col("ends_usually") & F.coalesce("expects_ending", F.lit(True)), "unusual end")
-        .when(F.col("bare") & (F.col("n_chars") == F.col("limit")), "full field")
+        .when(F.col("bare") & F.col("full"), "full field")
         .when(F.col("bare") & (F.col("core_length") % F.col("block") == 0), "end of a block")
         .otherwise("")
     )
