@@ -45,7 +45,7 @@ def test_two_runs_and_a_rerun(spark):
     assert counts(p.run_hash_diff(source(spark, []), t)) == (0, 0, 0, 3) and keys(t) == []
     assert keys_at(t, 1) == [1, 2, 3]
     t.vacuum(1)
-    assert not path_exists(spark, f"{t.root}/v=1") and t.curated().count() == 0
+    assert not path_exists(spark, f"{t.root}/data/v=1/__bucket=0") and path_exists(spark, f"{t.root}/manifests/v={t.version()}.json") and t.curated().count() == 0
 
 
 def keys_at(t, v):
@@ -139,3 +139,68 @@ def test_target_without_a_column_is_refused(spark):
     wider = store.VersionedTable(spark, t.root, Contract(**(C.__dict__ | {"fields": (*C.fields, "more")})))
     with pytest.raises(ValueError, match="more"):
         wider.stored()
+
+
+@pytest.mark.parametrize("bad", [None, "", "x"])
+def test_a_row_that_cannot_be_normalized_never_deletes(spark, bad):
+    c = Contract(**(C.__dict__ | {"required_fields": ("order_id", "status")}))
+    t = store.VersionedTable(spark, shared_dir(spark, "t"), c)
+    assert counts(p.run_hash_diff(source(spark, FIRST), t, hash_input="normalized")) == (3, 0, 0, 0)
+    second = source(spark, [(1, "1.00", "a"), (2, "2.00", bad), (3, "3.00", "c")])
+    if bad == "x":
+        assert counts(p.run_hash_diff(second, t, hash_input="normalized")) == (0, 1, 2, 0)
+        return
+    with pytest.raises(ContractValidationError) as e:
+        p.run_hash_diff(second, t, hash_input="normalized")
+    assert e.value.invalid_count == 1 and keys(t) == [(1, "a"), (2, "b"), (3, "c")] and t.version() == 1
+
+
+@pytest.mark.parametrize("hash_input", ["raw", "normalized"])
+def test_a_snapshot_with_a_key_twice_is_refused(spark, hash_input):
+    t = store.VersionedTable(spark, shared_dir(spark, "t"), C)
+    with pytest.raises(ContractValidationError, match='"order_id":1'):
+        p.run_hash_diff(source(spark, [*FIRST, (1, "9.00", "z")]), t, hash_input=hash_input)
+    assert t.version() == 0
+
+
+def test_a_landed_snapshot_with_a_key_twice_is_refused(spark):
+    out = shared_dir(spark, "land")
+    r = p.validate_and_land_snapshot(source(spark, FIRST), C, out)
+    twice = spark.read.text(r["accepted_path"])
+    twice.unionByName(twice).write.text(f"{out}/twice")
+    t = store.VersionedTable(spark, shared_dir(spark, "t"), C)
+    with pytest.raises(ContractValidationError):
+        p.merge_snapshot(spark, f"{out}/twice", t)
+    assert t.version() == 0
+
+
+def test_writes_follow_the_change_not_the_table(spark):
+    t = store.VersionedTable(spark, shared_dir(spark, "t"), C, rows_per_bucket=50, keep=2)
+    many = [(i, "1.00", "a") for i in range(1, 1201)]
+    p.run_hash_diff(source(spark, many), t)
+    m = t.manifest()
+    assert m["n_buckets"] == 24 and m["rows"] == 1200 and t.stored().count() == 1200
+    whole = store.object_size(spark, f"{t.root}/data/v=1")
+    p.run_hash_diff(source(spark, [*many[:5], (6, "1.00", "changed"), *many[6:]]), t)
+    assert store.object_size(spark, f"{t.root}/data/v=2") * 8 < whole
+    ev = spark.createDataFrame([(7, "DELETE", T0, 1, None, None)], "order_id long, op string, event_ts timestamp, event_id long, status string, row_hash string")
+    ev = ev.withColumns({"customer_id": F.lit(None).cast("long"), "amount": F.lit(None).cast("decimal(12,2)"), "updated_at": F.lit(None).cast("timestamp")})
+    assert p.apply_delta(ev, t, d.AUDIT)["delete_count"] == 1
+    assert store.object_size(spark, f"{t.root}/data/v=3") * 8 < whole and t.manifest()["rows"] == 1199
+    rows = {r["order_id"]: r["status"] for r in t.curated().collect()}
+    assert len(rows) == 1199 and rows[6] == "changed" and 7 not in rows
+    p.apply_delta(ev.limit(0), t, d.AUDIT, {"stream_batches": {"q": 4}})
+    assert t.version() == 4 and not path_exists(spark, f"{t.root}/data/v=4") and t.stored().count() == 1199
+    # Only the last two versions are kept, with what they name.
+    assert not path_exists(spark, f"{t.root}/manifests/v=1.json") and t.stored(3).count() == 1199
+    p.run_hash_diff(source(spark, many[:3]), t)
+    assert t.last_info()["stream_batches"] == {"q": 4} and keys(t) == [(1, "a"), (2, "a"), (3, "a")]
+
+
+def test_a_table_that_outgrows_its_buckets_gets_more(spark):
+    t = store.VersionedTable(spark, shared_dir(spark, "t"), C, rows_per_bucket=10)
+    p.run_hash_diff(source(spark, [(i, "1.00", "a") for i in range(5)]), t)
+    assert t.manifest()["n_buckets"] == 1
+    p.run_hash_diff(source(spark, [(i, "1.00", "a") for i in range(95)]), t)
+    assert t.manifest()["n_buckets"] == 10 and t.stored().count() == 95
+    assert counts(p.run_hash_diff(source(spark, [(i, "1.00", "a") for i in range(95)]), t)) == (0, 0, 95, 0)

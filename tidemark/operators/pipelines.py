@@ -48,39 +48,60 @@ def from_artifact(df: DataFrame, contract: Contract, fields: tuple[str, ...], pr
 # Snapshots
 
 
+def refuse_repeated_keys(rows: DataFrame, keys: list[str]) -> None:
+    """Raises ContractValidationError if a key (nulls included) is held by several rows."""
+    several = rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("__n")).where("__n > 1")
+    found = several.agg(F.count("*").alias("n"), F.sum("__n").alias("rows"), F.min(F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]))).alias("one")).first()
+    if found["n"]:
+        raise ContractValidationError(f"{found['n']} keys are held by {found['rows']} rows of the snapshot, one of them {found['one']}", invalid_count=found["rows"])
+
+
 def run_hash_diff(source: DataFrame, table: VersionedTable, use_row_hash: bool = False, hash_input: str = "raw") -> dict[str, Any]:
     """Brings a table in line with a source snapshot; returns the run's counters.
 
     ``use_row_hash`` trusts a ``row_hash`` column of the source (never blank); else the
-    source's values are hashed as they are (``raw``) or coerced (``normalized``).  The
-    source must be unique by key.  Nothing is written when nothing changed.
+    source's values are hashed as they are (``raw``) or coerced (``normalized``).  A
+    snapshot is taken whole or not at all: one that holds a key twice, or whose values
+    can't be normalized, raises ContractValidationError and the table stays as it is (its
+    absence would otherwise delete a rejected row).  Only the buckets of rows that changed
+    are written, and nothing when nothing changed.
     """
     started, contract = perf_counter(), table.contract.check()
     check_source(source.schema, contract)
     if use_row_hash:
         current = hd.checked_hashes(source.select(*[F.col(f"`{f}`") for f in contract.fields], "row_hash"))
     elif hash_input == "normalized":
-        current = v.accepted_rows(v.validated_rows(source, contract), contract)
+        judged = v.validated_rows(source, contract)
+        invalid = judged.where(F.size("errors") > 0).count()
+        if invalid:
+            raise ContractValidationError(f"{invalid} rows of the snapshot break the contract", invalid_count=invalid)
+        current = v.accepted_rows(judged, contract)
     else:
         current = source.select(*[F.col(f"`{f}`") for f in contract.fields]).withColumn("row_hash", row_hash(source, list(contract.effective_hash_fields), "raw"))
-    stored = table.stored()
-    classified = hd.classify(current, stored.select(*contract.key_fields, "row_hash"), list(contract.key_fields)).persist()
+    keys = list(contract.key_fields)
+    refuse_repeated_keys(current, keys)
+    manifest = table.manifest()
+    classified = hd.classify(current, table.stored().select(*keys, "row_hash"), keys).persist()
     try:
         counts = hd.change_counts(classified).first().asDict()
         diff_seconds = perf_counter() - started
-        if counts["insert_count"] + counts["update_count"] + counts["delete_count"] or not table.version():
-            table.commit(_merged_rows(classified, stored, contract), {"counts": counts})
         read = counts["insert_count"] + counts["update_count"] + counts["unchanged_count"]
+        if counts["insert_count"] + counts["update_count"] + counts["delete_count"] or not manifest["version"]:
+
+            def rows_of(stored: DataFrame, buckets: set[int] | None) -> DataFrame:
+                mine = classified if buckets is None else table.in_buckets(classified, buckets, manifest["n_buckets"])
+                return rows_for(hd.merged(mine, stored, keys), table)
+
+            table.commit_buckets(rows_of, _touched(classified, table, manifest), read, {"counts": counts})
         return {**counts, "read_count": read, "version": table.version(), "diff_seconds": diff_seconds, "total_seconds": perf_counter() - started}
     finally:
         classified.unpersist()
 
 
-def _merged_rows(classified: DataFrame, stored: DataFrame, contract: Contract) -> DataFrame:
-    kept = classified.where("change_type <> 'DELETE'")
-    if not len(stored.columns) or stored.isEmpty():
-        return kept.select(*[F.col(f"`{f}`") for f in contract.fields], "row_hash")
-    return hd.merged(kept, stored, list(contract.key_fields))
+def _touched(classified: DataFrame, table: VersionedTable, manifest: dict[str, Any]) -> set[int]:
+    """Buckets in which a row is inserted, updated or deleted."""
+    changed = classified.where("change_type in ('INSERT', 'UPDATE', 'DELETE')")
+    return {r[0] for r in changed.select(table.bucket(classified, manifest["n_buckets"])).distinct().collect()}
 
 
 def validate_and_land_snapshot(source: DataFrame, contract: Contract, out: str, strict_optional: bool = True) -> dict[str, Any]:
@@ -218,27 +239,36 @@ def apply_delta(events: DataFrame, table: VersionedTable, dialect: d.Dialect, in
     """Applies typed delta events latest-wins; returns counts and the last position.
 
     The watermark is the greatest position of the events given, so quarantined events at
-    the end don't move it.  Nothing is written when nothing changed.
+    the end don't move it.  Only buckets in which a row changes are written; when none
+    does, nothing is, or a manifest alone if there is ``info`` to note.
     """
     started, contract = perf_counter(), table.contract
-    keys = list(contract.key_fields)
-    stored = table.stored()
-    effective = d.latest_effective(events, keys, dialect.position)
-    classified = d.classify_effective(effective, stored.select(*keys, "row_hash"), keys).persist()
+    keys, manifest = list(contract.key_fields), table.manifest()
+    effective = d.latest_effective(events, keys, dialect.position).persist()
+    # Only the buckets that the events' keys lie in are read, and only those that change written.
+    seen = {r[0] for r in effective.select(table.bucket(effective, manifest["n_buckets"])).distinct().collect()}
+    classified = d.classify_effective(effective, table.stored(buckets=seen).select(*keys, "row_hash"), keys).persist()
     try:
         counts = d.apply_counts(classified).first().asDict()
-        last = events.agg(F.count("*").alias("n"), F.max(F.struct(*dialect.position)).alias("p")).first()
-        if counts["insert_count"] + counts["update_count"] + counts["delete_count"] or not table.version() or info:
-            table.commit(rows_for(d.applied(classified, stored, keys), table), {"counts": counts, **(info or {})})
+        position = F.struct(*dialect.position)
+        last = events.agg(F.count("*").alias("n"), F.max(position).alias("p"), (F.max_by("end_lsn", position) if "end_lsn" in events.columns else F.lit(None).cast("string")).alias("e")).first()
+        if counts["insert_count"] + counts["update_count"] + counts["delete_count"] or not manifest["version"] or info:
+
+            def rows_of(stored: DataFrame, buckets: set[int] | None) -> DataFrame:
+                mine = classified if buckets is None else table.in_buckets(classified, buckets, manifest["n_buckets"])
+                return rows_for(d.applied(mine, stored, keys), table)
+
+            n_rows = manifest["rows"] + counts["insert_count"] - counts["delete_count"]
+            table.commit_buckets(rows_of, _touched(classified, table, manifest), n_rows, {"counts": counts, **(info or {})})
         result: dict[str, Any] = {**counts, "read_count": last["n"], "version": table.version(), "total_seconds": perf_counter() - started}
         if dialect.name == d.AUDIT.name:
             result["last_applied_watermark"] = None if last["p"] is None else {"ordering_ts": last["p"]["event_ts"], "event_id": last["p"]["event_id"], "mode": "event_ts"}
         else:
-            top = events.agg(F.max_by("end_lsn", F.struct(*dialect.position)).alias("e")).first()["e"]
-            result["last_applied_lsn"] = top
+            result["last_applied_lsn"] = last["e"]
         return result
     finally:
         classified.unpersist()
+        effective.unpersist()
 
 
 def apply_delta_artifact(spark: SparkSession, path: str, table: VersionedTable, dialect: d.Dialect) -> dict[str, Any]:

@@ -6,24 +6,41 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+#: What a driver may take in, and a broadcast hold, of metadata.
+MAX_BYTES = 32 << 20
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a folder of this machine
-    is made and set as the checkpoint folder.
+    Only where driver and executors are one process (tests, a laptop) may that setting be
+    absent; a folder of this machine is then made and set as the checkpoint folder.  What
+    one application keeps here is removed when it ends, or before that by ``delete_path``.
     """
+    app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if app not in _FALLBACK:
             _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
             spark.sparkContext.setCheckpointDir(_FALLBACK[app])
         root = _FALLBACK[app]
-    return f"{root.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"
+    mine = f"{root.rstrip('/')}/tidemark-{app}"
+    fs, p = hadoop_path(spark, mine)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{mine}/{purpose}-{uuid.uuid4().hex}"
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -43,11 +60,36 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
-    """The rows of a small frame, or None when it has more than ``max_rows``.
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none if it isn't there."""
+    fs, p = hadoop_path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def partition_folder(spark: SparkSession, column: str, value: object) -> str:
+    """``column=value`` as Spark spells it in a path, with escapes and the name of null."""
+    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    escaped = "__HIVE_DEFAULT_PARTITION__" if value is None or value == "" else utils.escapePathName(str(value))
+    return f"{utils.escapePathName(column)}={escaped}"
+
+
+def bounded_rows(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> list[Row] | None:
+    """The rows of a small frame, or None when they are more than the driver should hold.
 
-    Used for metadata (contracts, snapshot catalogues, touched periods) only;
-    every caller has a join to fall back on, or refuses, when None comes back.
+    Rows are counted and measured (as JSON) before any is sent.  Used for metadata only
+    (contracts, catalogues, touched periods); every caller has a join to fall back on.
     """
-    rows = df.limit(max_rows + 1).collect()
-    return None if len(rows) > max_rows else rows
+    kept = df.persist()
+    try:
+        size = kept.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in df.columns])))).alias("b")).first()
+        if size["n"] > max_rows or (size["b"] or 0) > max_bytes:
+            return None
+        return kept.collect()
+    finally:
+        kept.unpersist()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The frame as a broadcast of its rows where those are few, else as it is."""
+    rows = bounded_rows(df, max_rows, max_bytes)
+    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
