@@ -17,7 +17,10 @@ EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 HOSTNAME = r"^([A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)(\.[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*\.*$"
 DURATION = r"^P(?=.)(\d+Y)?(\d+M)?(\d+D)?(T(?=.)(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?$"
 IPV4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
-URI = r"^[A-Za-z][A-Za-z0-9+.-]*:[^?#]+"
+#: A scheme, then an authority or a path.
+URI = r"^[A-Za-z][A-Za-z0-9+.-]*:(//([^/?#]+|/)|(?!//)[^?#]+)"
+#: What has no scheme, authority, path, query or fragment, and so refers to nothing.
+NO_REFERENCE = r"^[\x00-\x20]*(//)?\??#?[\t\r\n]*$"
 UUID_HEX = r"^[0-9A-Fa-f]{32}$"
 ZONED = r"([zZ]|[+-]\d{2}(:?\d{2})?)$"
 
@@ -63,7 +66,7 @@ def matches_format(c: Column, name: str) -> Column:
         "ipv4": lambda: c.rlike(IPV4),
         "ipv6": lambda: _is_ipv6(c),
         "uri": lambda: c.rlike(URI),
-        "uri-reference": lambda: c != "",
+        "uri-reference": lambda: ~c.rlike(NO_REFERENCE),
         "regex": lambda: _is_regex(c),
         "duration": lambda: c.rlike(DURATION),
     }.get(f, lambda: F.lit(True))()
