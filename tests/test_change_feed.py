@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.change_feed import current_state, is_delete, json_key
+from tidemark.operators.change_feed import current_state, is_delete, json_key, optional_key
 
 SCHEMA = "t string, k long, p0 long, p1 long, op string, row string, image string, __range int"
 
@@ -38,7 +38,7 @@ def test_random_feeds_against_brute_force(spark):
 
 def test_one_key_holds_most_of_the_feed(spark):
     rows = [("a", 1, p, 0, "U", f"r{p}", None, None) for p in range(3000)] + [("a", 2, 5, 0, "I", "x", None, None)]
-    assert state(spark, rows, ranges=8) == [("a", 1, 2999, 0, "r2999"), ("a", 2, 5, 0, "x")]
+    assert state(spark, rows, slices=8) == [("a", 1, 2999, 0, "r2999"), ("a", 2, 5, 0, "x")]
 
 
 def test_nulls_ties_unknown_ops_and_repeats(spark):
@@ -66,4 +66,15 @@ def test_keys_written_as_text(spark):
 
 def test_feeds_with_other_scales(spark):
     rows = [("audit", 1, 10**15, 1, "I", "x", None, None), ("audit", 1, 10**15 + 5, 1, "U", "y", None, None), ("cdc", 1, 7, 1, "I", "z", None, None)]
-    assert state(spark, rows, feed=["t"]) == [("audit", 1, 10**15 + 5, 1, "y"), ("cdc", 1, 7, 1, "z")]
+    assert state(spark, rows) == [("audit", 1, 10**15 + 5, 1, "y"), ("cdc", 1, 7, 1, "z")]
+
+
+def test_stray_positions_and_one_transaction_leave_the_hot_key_split(spark):
+    rows = [("a", 1, 7, i, "U", f"r{i}", None, None) for i in range(2000)] + [("a", 2, 10**15, 0, "I", "far", None, None)]
+    assert state(spark, rows, slices=16) == [("a", 1, 7, 1999, "r1999"), ("a", 2, 10**15, 0, "far")]
+
+
+def test_an_unreadable_line_number_is_not_line_0(spark):
+    df = spark.createDataFrame([('{"order_id":1}',), ('{"line_no":null}',), ('{"line_no":"2"}',), ('{"line_no":"x"}',), ('{"line_no":""}',), (None,)], "j string")
+    got = [r["n"] for r in df.select(optional_key(F.col("j"), "line_no").alias("n")).collect()]
+    assert got == [0, 0, 2, None, None, None]
