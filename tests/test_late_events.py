@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.late_events import LateEventCounts, lateness
+from tidemark.operators.late_events import LateEventCounts, in_groups, lateness
 from tidemark.session import shared_dir
 
 T0 = dt.datetime(2025, 3, 1, 10, 0)
@@ -57,3 +57,37 @@ def test_only_empty_batches_and_an_earlier_store(spark):
     o.add_batch(frame(spark, [(1, "a", 0, 1)]), 2)
     again = LateEventCounts(spark, o.root, ["id"], ["tab"], "at", "seen")
     assert counts(again) == counts(o) == {("a", 10): (1, 0, 0)} and again.events().count() == 1
+
+
+def test_the_same_batch_again_with_other_days_replaces_the_first(spark):
+    o = op(spark)
+    day = 24 * 60
+    o.add_batch(frame(spark, [(1, "a", 0, 1)]), 1)
+    assert o.add_batch(frame(spark, [(2, "a", day, day + 1)]), 1) == ["20250301", "20250302"]
+    assert {(r["part"], r["n_events"]) for r in o.counts().collect()} == {("20250302", 1)} and [r["id"] for r in o.events().collect()] == [2]
+    o.add_batch(frame(spark, []), 1)
+    assert counts(o) == {} and o.events().count() == 0
+
+
+def test_closed_periods_and_repeated_deliveries_are_not_recomputed(spark):
+    o = op(spark)
+    day = 24 * 60
+    o.add_batch(frame(spark, [(1, "a", 0, 1), (2, "a", 5, 6), (3, "b", day, day + 1)]), 1)
+    assert o.add_batch(frame(spark, [(1, "a", 0, 1), (9, "a", 10, day), (9, "a", 10, day)]), 2) == []
+    assert counts(o) == {("a", 10): (2, 0, 1), ("b", 10): (1, 0, 0)}
+    assert {r["part"]: r["as_of"] for r in o.counts().collect()} == {"20250301": 1, "20250302": 1}
+    assert o.add_batch(frame(spark, [(9, "a", 10, day)]), 3) == []  # past the cut-off, and known
+    assert {(r["id"], r["lateness"]) for r in o.events().where("lateness <> 'on_time'").collect()} == {(9, "too_late")} and o.events().count() == 4
+    assert o.add_batch(frame(spark, [(4, "a", 30, 100)]), 4) == ["20250301"]
+    assert counts(o) == {("a", 10): (3, 1, 1), ("b", 10): (1, 0, 0)} and o.events().count() == 5
+    assert o.add_batch(frame(spark, [(9, "a", 10, 20)]), 5) == ["20250301"]  # a copy that was visible in time
+    assert counts(o)[("a", 10)] == (4, 1, 0)
+    o.add_batch(frame(spark, [(4, "a", 30, 100), (8, "b", day, 3 * day)]), 2)  # batch 2 once more, with other rows
+    assert counts(o) == {("a", 10): (4, 1, 0), ("b", 10): (1, 0, 1)}
+
+
+def test_groups_of_batches(spark):
+    df = spark.createDataFrame([(i, b) for i, b in enumerate([None, 1, 1, 1, 2, 3, 5, 5])], "id long, batch int")
+    got = [sorted(r["id"] for r in g.collect()) for g in in_groups(df, "batch", 3)]
+    assert got == [[0, 1, 2, 3], [4, 5], [6, 7]]
+    assert len(in_groups(df.limit(0), "batch", 3)) == 1

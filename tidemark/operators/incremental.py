@@ -12,11 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.hashes import additive_halves, row_hash64
-from tidemark.session import delete_path, hadoop_path, path_exists
+from tidemark.session import broadcast_if_small, delete_path, partition_folder, path_exists, shared_dir
+from tidemark.sources.store import get_json, put_json, read_bytes, write_bytes
 
 
 def fingerprints(df: DataFrame, partition: Sequence[str], hashed: Sequence[str], within: Column | None = None) -> DataFrame:
@@ -47,43 +49,38 @@ class IncrementalTable:
     """A derived table whose partitions follow the partitions of its source.
 
     ``transform`` gets the source rows of the changed partitions and must keep the
-    partition columns.  State below ``root``: ``table/``, ``fingerprints/v=N`` and the
-    pointer file ``CURRENT`` that names the committed N.
+    partition columns; ``merge``, if given, then gets its result, the rows the table holds
+    of those partitions and the number of the run.  State below ``root``: ``table/``,
+    ``fingerprints/v=N``, the columns and the pointer file ``CURRENT`` that names the
+    committed N.  An empty text in a partition column counts as null, as paths have it.
     """
 
-    def __init__(self, spark: SparkSession, root: str, partition: Sequence[str], hashed: Sequence[str], transform: Callable[[DataFrame], DataFrame]):
-        self.spark, self.root, self.partition, self.hashed, self.transform = spark, root, list(partition), list(hashed), transform
+    def __init__(self, spark: SparkSession, root: str, partition: Sequence[str], hashed: Sequence[str], transform: Callable[[DataFrame], DataFrame] = lambda df: df, merge: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None):
+        self.spark, self.root, self.partition, self.hashed, self.transform, self.merge = spark, root, list(partition), list(hashed), transform, merge
         self.table_path = f"{root}/table"
 
     def version(self) -> int:
         """The last committed version; 0 before the first run."""
-        if not path_exists(self.spark, f"{self.root}/CURRENT"):
-            return 0
-        fs, p = hadoop_path(self.spark, f"{self.root}/CURRENT")
-        stream = fs.open(p)
-        try:
-            return int(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _commit(self, version: int) -> None:
-        """The pointer is written aside and renamed, so readers see one version or the other."""
-        fs, tmp = hadoop_path(self.spark, f"{self.root}/CURRENT.{version}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        _, final = hadoop_path(self.spark, f"{self.root}/CURRENT")
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(tmp, final, options)
+        pointer = f"{self.root}/CURRENT"
+        return int(read_bytes(self.spark, pointer)) if path_exists(self.spark, pointer) else 0
+
+    def _same(self, prefix: str) -> Column:
+        match = F.lit(True)
+        for c in self.partition:
+            match = match & F.col(f"`{c}`").eqNullSafe(F.col(f"`{prefix}{c}`"))
+        return match
 
     def run(self, source: DataFrame, before_commit: Callable[[], None] = lambda: None) -> int:
         """Brings the table up to date; returns the number of partitions recomputed.
 
-        A partition that has vanished from the source is emptied.  ``before_commit`` is
-        called between the data and the fingerprints (tests let it fail).
+        A partition that has vanished from the source, or of which nothing is left, is
+        removed.  ``before_commit`` is called between the data and the fingerprints (tests
+        let it fail).  A run after one that failed finds the old fingerprints, takes the
+        same partitions, with the same number, and leaves the same rows.
         """
+        for c in self.partition:
+            if source.schema[c].dataType.typeName() == "string":
+                source = source.withColumn(c, F.nullif(F.col(f"`{c}`"), F.lit("")))
         v = self.version()
         now_path = f"{self.root}/fingerprints/v={v + 1}"
         fingerprints(source, self.partition, self.hashed).write.mode("overwrite").parquet(now_path)
@@ -92,55 +89,96 @@ class IncrementalTable:
         changed = changed_partitions(now, before, self.partition).persist()
         try:
             n = changed.count()
+            todo = broadcast_if_small(changed.select(*[F.col(f"`{c}`").alias(f"__c_{c}") for c in self.partition]))
+            rows = self.transform(source.join(todo, self._same("__c_"), "left_semi"))
+            if self.merge:
+                stored = self.read()
+                rows = self.merge(rows, stored.join(todo, self._same("__c_"), "left_semi") if len(stored.columns) else stored, v + 1)
+            put_json(self.spark, f"{self.root}/columns.json", T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema]).jsonValue())
             if n:
-                match = F.lit(True)
-                for c in self.partition:
-                    match = match & F.col(c).eqNullSafe(F.col(f"__c_{c}"))
-                todo = changed.where("not gone").select(*[F.col(c).alias(f"__c_{c}") for c in self.partition])
-                rows = self.transform(source.join(todo, match, "left_semi"))
-                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.partition).parquet(self.table_path)
+                # The partitions written are told by the write itself; the table may be read
+                # while it runs, as files are exchanged only when all of it is done.
+                written = Observation()
+                told = rows.hint("rebalance", *self.partition).observe(written, F.collect_set(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in self.partition])).alias("parts"))
+                told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.partition).parquet(self.table_path)
+                left = {tuple(r) for r in written.get.get("parts") or ()}
                 # A partition left without rows has nothing that could overwrite it.
-                kept = rows.select(*self.partition).distinct().select(*[F.col(c).alias(f"__c_{c}") for c in self.partition])
-                for r in changed.join(kept, match, "left_anti").toLocalIterator():
-                    delete_path(self.spark, "/".join([self.table_path, *[f"{c}={'__HIVE_DEFAULT_PARTITION__' if r[c] is None else r[c]}" for c in self.partition]]))
+                for r in changed.select(*[F.col(f"`{c}`").cast("string") for c in self.partition]).toLocalIterator():
+                    if tuple(r) not in left:
+                        delete_path(self.spark, "/".join([self.table_path, *[partition_folder(self.spark, c, x) for c, x in zip(self.partition, r)]]))
             before_commit()
-            self._commit(v + 1)
+            write_bytes(self.spark, f"{self.root}/CURRENT", str(v + 1).encode())
+            delete_path(self.spark, f"{self.root}/fingerprints/v={v - 1}")
             return n
         finally:
             changed.unpersist()
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.table_path)
+        """The table; without any run, a frame without columns."""
+        if not path_exists(self.spark, f"{self.root}/columns.json"):
+            return self.spark.createDataFrame([], T.StructType())
+        schema = T.StructType.fromJson(get_json(self.spark, f"{self.root}/columns.json"))
+        return self.spark.read.schema(schema).parquet(self.table_path) if path_exists(self.spark, self.table_path) else self.spark.createDataFrame([], schema)
 
 
-def uncovered_events(events: DataFrame, marks: DataFrame, feed: Sequence[str], identity: Sequence[str], position: tuple[str, str], segment: str) -> DataFrame:
-    """Events beyond the furthest position a succeeded run noted for their feed.
+def first_seen(partition: Sequence[str], identity: Sequence[str]) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """A ``merge`` that gives each row ``first_run``, the run that processed it first."""
+
+    def merge(rows: DataFrame, stored: DataFrame, run: int) -> DataFrame:
+        if not len(stored.columns):
+            return rows.withColumn("first_run", F.lit(run).cast("bigint"))
+        s = stored.select(*[F.col(f"`{c}`").alias(f"__s_{c}") for c in [*partition, *identity]], "first_run")
+        match = F.lit(True)
+        for c in [*partition, *identity]:
+            match = match & F.col(f"`{c}`").eqNullSafe(F.col(f"`__s_{c}`"))
+        return rows.join(s, match, "left").select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("first_run", F.lit(run)).cast("bigint").alias("first_run"))
+
+    return merge
+
+
+def covered_by(events: DataFrame, marks: DataFrame, feed: Sequence[str], position: tuple[str, str]) -> DataFrame:
+    """The events at or before the mark of their feed: what succeeded runs have processed.
 
-    ``marks`` holds one row per feed with ``m0, m1``.  The state at the last successful
-    run is the fingerprint of what lies at or before the mark in each segment; it is
-    compared with the fingerprint of all events there, and only the events of the
-    segments that differ are looked at again.  Copies of an event count once.  A feed
-    without any mark comes out whole; an event without a position isn't known to be
-    covered and comes out too.
+    ``marks`` holds one row per feed with ``m0, m1``.  An event without a position isn't
+    known to be covered; a feed without a mark has nothing covered.
     """
     p0, p1 = position
-    once = events.select(*feed, segment, *identity, p0, p1).distinct()
-    m = marks.select(*[F.col(c).alias(f"__m_{c}") for c in feed], "m0", "m1")
+    m = broadcast_if_small(marks.select(*[F.col(c).alias(f"__m_{c}") for c in feed], "m0", "m1"))
     match = F.lit(True)
     for c in feed:
         match = match & F.col(c).eqNullSafe(F.col(f"__m_{c}"))
     covered = (F.col(p0) < F.col("m0")) | ((F.col(p0) == F.col("m0")) & (F.col(p1) <= F.col("m1")))
-    placed = once.join(m, match, "left").withColumn("__covered", F.coalesce(covered, F.lit(False)))
-    h = row_hash64([F.col(c) for c in [*feed, *identity]])
-    now, before = additive_halves(h), additive_halves(F.when(F.col("__covered"), h))
-    # Both fingerprints of a segment in one pass.
-    changed = (
-        placed.groupBy(*feed, segment)
-        .agg(F.count("*").alias("n"), F.count_if("__covered").alias("n0"), now[0].alias("hi"), now[1].alias("lo"), before[0].alias("hi0"), before[1].alias("lo0"))
-        .where("not (n = n0 and hi <=> hi0 and lo <=> lo0)")
-        .select(*[F.col(c).alias(f"__t_{c}") for c in [*feed, segment]])
-    )
-    match = F.lit(True)
-    for c in [*feed, segment]:
-        match = match & F.col(c).eqNullSafe(F.col(f"__t_{c}"))
-    return placed.join(changed, match, "left_semi").where("not __covered").select(*feed, *identity).distinct()
+    return events.join(m, match).where(covered).select(*events.columns)
+
+
+def next_run(events: DataFrame, marks: DataFrame, feed: Sequence[str], identity: Sequence[str], position: tuple[str, str], segment: str, root: str) -> IncrementalTable:
+    """The table of processed events after the run that follows the marks.
+
+    The state that the succeeded runs left (partitions of feed and segment, with their
+    fingerprints) is what lies at or before the marks.  The next run compares the
+    fingerprints of all events with it, recomputes and replaces the partitions that differ
+    and no others, and what it processes is what those partitions didn't hold:
+    ``first_run`` of a row equals the table's version.  Copies of an event with one
+    position count once.
+    """
+    spark, partition = events.sparkSession, [*feed, segment]
+    names = [*partition, *identity, *position]
+    events.select(*names).distinct().write.parquet(f"{root}/source")
+    once = spark.read.parquet(f"{root}/source")
+    rest = [*identity, *position]
+    table = IncrementalTable(spark, f"{root}/processed", partition, rest, merge=first_seen(partition, rest))
+    table.run(covered_by(once, marks, feed, position))
+    table.run(once)
+    delete_path(spark, f"{root}/source")
+    return table
+
+
+def uncovered_events(events: DataFrame, marks: DataFrame, feed: Sequence[str], identity: Sequence[str], position: tuple[str, str], segment: str, root: str | None = None) -> DataFrame:
+    """Events beyond the furthest position a succeeded run noted for their feed.
+
+    They are read from the table that the next run leaves (``next_run``).  Copies of an
+    event count once.  A feed without any mark comes out whole; an event without a
+    position isn't known to be covered and comes out too.
+    """
+    t = next_run(events, marks, feed, identity, position, segment, root or shared_dir(events.sparkSession, "incremental"))
+    return t.read().where(F.col("first_run") == t.version()).select(*feed, *identity).distinct()

@@ -10,7 +10,7 @@ from tidemark.functions.lsn import lsn_col, lsn_text
 from tidemark.functions.times import utc_micros
 from tidemark.operators import change_feed as cf
 from tidemark.operators import drift, incremental, late_events, redelivery, snapshots
-from tidemark.session import bounded_rows, shared_dir
+from tidemark.session import bounded_rows, broadcast_if_small, shared_dir
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,12 +27,12 @@ def _all_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return cf.current_state(_all_changes(spark, d), _KEY, ("p_major", "p_minor"), cf.is_delete(F.col("op")), feed=["feed"]).drop("image")
+    return cf.current_state(_all_changes(spark, d), _KEY, ("p_major", "p_minor"), cf.is_delete(F.col("op"))).drop("image")
 
 
 def p1_state(spark: SparkSession, d: str) -> DataFrame:
     """The current rows themselves, as the members every table has."""
-    s = cf.current_state(_all_changes(spark, d), _KEY, ("p_major", "p_minor"), cf.is_delete(F.col("op")), image=F.col("row_json"), feed=["feed"])
+    s = cf.current_state(_all_changes(spark, d), _KEY, ("p_major", "p_minor"), cf.is_delete(F.col("op")), image=F.col("row_json"))
     row = F.from_json("image", "customer_id bigint, amount string, status string")
     return s.select(*_KEY, row["customer_id"].cast("string").alias("customer_id"), row["amount"].alias("amount"), row["status"].alias("status"))
 
@@ -114,16 +114,22 @@ def p3_accepted(spark: SparkSession, d: str) -> DataFrame:
     """What the later half of each feed's batches brought that the earlier half hadn't."""
     m = _audit_messages(spark, d).unionByName(_cdc_messages(spark, d))
     last = m.groupBy("feed").agg(F.max("batch").alias("__last"))
-    m = m.join(F.broadcast(last), "feed")
+    m = m.join(broadcast_if_small(last), "feed")
     return redelivery.accept_batch(m.where("batch * 2 > __last").drop("__last"), m.where("batch * 2 <= __last"), _MESSAGE, [F.col("arrived_at")]).select(*_MESSAGE)
 
 
 # 4: late and out-of-order events
 
 
+#: Into how many batches a log is cut when it is replayed.
+REPLAYED_BATCHES = 6
+
+
 def _late_counts(spark: SparkSession, d: str) -> late_events.LateEventCounts:
+    """The log replayed in the order of its extract batches, several at a time."""
     op = late_events.LateEventCounts(spark, shared_dir(spark, "late-events"), ["audit_event_id"], ["source_table"], "recorded_at", "ordering_ts")
-    op.add_batch(table(spark, d, "audit_log"), 1)
+    for n, part in enumerate(late_events.in_groups(table(spark, d, "audit_log"), "extract_batch", REPLAYED_BATCHES)):
+        op.add_batch(part, n)
     return op
 
 
@@ -136,6 +142,11 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return c.select("source_table", F.col("period_start").cast("timestamp_ntz").alias("period_start"), "n_events", "n_late", "n_too_late")
 
 
+def p4_recomputed(spark: SparkSession, d: str) -> DataFrame:
+    """Which days each replayed batch was the last to recompute."""
+    return _late_counts(spark, d).counts().groupBy("part").agg(F.max("as_of").alias("as_of")).where("as_of is not null")
+
+
 # 5: processing only new or changed records
 
 
@@ -158,9 +169,21 @@ def furthest_marks(checkpoints: DataFrame) -> DataFrame:
     return m.select("feed", "source_table", "m.m0", "m.m1")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _next_run(spark: SparkSession, d: str) -> incremental.IncrementalTable:
     marks = furthest_marks(table(spark, d, "run_checkpoints"))
-    return incremental.uncovered_events(_positions(spark, d), marks, ["feed", "source_table"], ["id_major", "id_minor"], ("pos0", "pos1"), "segment")
+    return incremental.next_run(_positions(spark, d), marks, ["feed", "source_table"], ["id_major", "id_minor"], ("pos0", "pos1"), "segment", shared_dir(spark, "incremental"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    t = _next_run(spark, d)
+    return t.read().where(F.col("first_run") == t.version()).select("feed", "source_table", "id_major", "id_minor").distinct()
+
+
+def p5_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """The partitions that the next run replaces, with their events and how many are new."""
+    t = _next_run(spark, d)
+    new = F.col("first_run") == t.version()
+    return t.read().groupBy("feed", "source_table", "segment").agg(F.count("*").alias("n"), F.count_if(new).alias("n_new")).where("n_new > 0")
 
 
 def p5_marks(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +221,7 @@ def p6_rescued_counts(spark: SparkSession, d: str) -> DataFrame:
     return i.groupBy("contract_id").agg(F.count("*").alias("n_lines"), F.count_if(~F.col("well_formed")).alias("n_malformed"), F.count_if(F.size("undeclared") > 0).alias("n_undeclared"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_counts, p3_found, p3_first_copies, p3_accepted, p4_found, p4_counts, p5_found, p5_marks, p5_fingerprints, p6_found, p6_consistent, p6_rescued_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_counts, p3_found, p3_first_copies, p3_accepted, p4_found, p4_counts, p4_recomputed, p5_found, p5_replaced, p5_marks, p5_fingerprints, p6_found, p6_consistent, p6_rescued_counts)}
 
 _LSN = "(cast(('0x' || split_part(trim({0}), '/', 1)) as bigint) * 4294967296 + cast(('0x' || split_part(trim({0}), '/', 2)) as bigint))"
 
@@ -210,16 +233,16 @@ def _lsn_sql(c: str) -> str:
 _CHANGES = f"""
 with changes as (
   select 'audit' as feed, source_table, try_cast(json_extract_string(key_json, '$.order_id') as bigint) as key_id,
-         coalesce(try_cast(json_extract_string(key_json, '$.line_no') as bigint), 0) as line_no,
+         case when json_extract_string(key_json, '$.line_no') is null then 0 else try_cast(json_extract_string(key_json, '$.line_no') as bigint) end as line_no,
          epoch_us(event_ts) as pos_major, event_id as pos_minor, upper(trim(op)) in ('DELETE', 'D') as gone, row_json
   from audit_delta
   union all
   select 'cdc', source_table, try_cast(json_extract_string(key_json, '$.shipment_id') as bigint),
-         coalesce(try_cast(json_extract_string(key_json, '$.line_no') as bigint), 0),
+         case when json_extract_string(key_json, '$.line_no') is null then 0 else try_cast(json_extract_string(key_json, '$.line_no') as bigint) end,
          {_lsn_sql('commit_lsn')}, change_index, upper(trim(op)) in ('DELETE', 'D'), row_json
   from cdc_delta
 ), latest as (
-  select * from changes where key_id is not null
+  select * from changes where key_id is not null and line_no is not null
   qualify row_number() over (partition by feed, source_table, key_id, line_no order by pos_major desc, pos_minor desc, gone, row_json desc) = 1
 )
 """
@@ -291,6 +314,19 @@ ORACLE = {
     "p4_found": _VISIBLE + "select audit_event_id, lateness from c where lateness <> 'on_time'",
     "p4_counts": _VISIBLE + """select source_table, period_start, count(*) filter (lateness <> 'too_late') as n_events, count(*) filter (lateness = 'late') as n_late,
         count(*) filter (lateness = 'too_late') as n_too_late from c group by 1, 2""",
+    "p4_recomputed": _VISIBLE + f""", sizes as (select extract_batch as b, count(*) as n from audit_log where extract_batch is not null group by 1),
+        sized as (select b, n, sum(n) over (order by b) as done, sum(n) over () as total from sizes),
+        cut as (select b, dense_rank() over (order by least({REPLAYED_BATCHES} - 1, ((done - 1) * {REPLAYED_BATCHES} // total)::bigint)) - 1 as g from sized),
+        first_in as (select audit_event_id, min(coalesce(g, 0)) as g from audit_log left join cut on b = extract_batch group by 1)
+        select strftime(recorded_at, '%Y%m%d') as part, max(g) as as_of from c join first_in using (audit_event_id) where lateness <> 'too_late' group by 1""",
+    "p5_replaced": _POSITIONS + f""", e as (
+        select distinct 'audit' as feed, a.source_table, a.audit_event_id as i, 0::bigint as j, epoch_us(coalesce(a.ordering_ts, a.recorded_at)) // 86400000000 as segment,
+          m.feed is null or coalesce(a.ordering_ts, a.recorded_at) > m.ordering_ts or (coalesce(a.ordering_ts, a.recorded_at) = m.ordering_ts and a.audit_event_id > m.event_id) as fresh
+        from audit_log a left join marks m on m.feed = 'audit' and m.source_table = a.source_table
+        union all
+        select distinct 'cdc', c.source_table, {_lsn_sql('c.commit_lsn')}, c.change_index, {_lsn_sql('c.end_lsn')} // 1073741824, m.feed is null or {_lsn_sql('c.end_lsn')} > m.lsn
+        from cdc_delta c left join marks m on m.feed = 'cdc' and m.source_table = c.source_table)
+        select feed, source_table, segment, count(*) as n, count(*) filter (fresh) as n_new from e group by 1, 2, 3 having n_new > 0""",
     "p5_found": _POSITIONS + f"""
 select distinct 'audit' as feed, a.source_table, a.audit_event_id as id_major, 0::bigint as id_minor
 from audit_log a left join marks m on m.feed = 'audit' and m.source_table = a.source_table
