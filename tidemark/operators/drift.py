@@ -2,8 +2,9 @@
 
 Rescue-column ingestion: a payload is parsed once, members that the file's contract
 version declares and whose value can be cast go to the typed part, everything else is
-kept as JSON in the rescue column.  Approved fields are promoted later by replaying
-the rescued values, and renamed fields are read under their current name.
+kept as JSON in the rescue column.  What was ingested is stored, and everything else reads
+that: the report of undeclared fields, the values that tell renames, promotion of approved
+fields by replaying rescued values, and the table under current names.
 
 Contracts are metadata: versions of one contract are compared in one task.  What is
 said about values comes from the landed rows through distributed aggregation.
@@ -20,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import bounded_rows
+from tidemark.functions.canonical import let
+from tidemark.session import broadcast_if_small, kept, shared_dir
 
+#: Rows of contract metadata that the driver takes in (and MAX_BYTES of them); more stay distributed.
 MAX_METADATA = 200_000
 FIELD_SCHEMA = "contract_id string, version string, step long, position long, field string, kind string, described string, former string, key_fields array<string>"
 CHANGE_SCHEMA = "contract_id string, version string, change string, field string, old_field string"
@@ -81,7 +84,7 @@ def schema_fields(contracts: DataFrame) -> DataFrame:
     """
     cols = ["contract_id", "version", "published_at", "schema_json", "fields", "field_types", "primary_keys", "business_keys"]
     usable = contracts.select(*cols).where("contract_id is not null and version is not null")
-    return usable.groupBy("contract_id").applyInPandas(_fields_of, FIELD_SCHEMA)
+    return kept(usable.groupBy("contract_id").applyInPandas(_fields_of, FIELD_SCHEMA))
 
 
 def _steps(pdf: pd.DataFrame) -> Iterable[tuple[str, dict, dict]]:
@@ -165,14 +168,25 @@ def _changes(pdf: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["contract_id", "version", "change", "field", "old_field"])
 
 
+#: JSON as the standard has it.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def parsed_payload(payload: Column) -> Column:
     """Members of a well-formed JSON object as text; null for anything else.
 
     Text after the object, single quotes, cut lines and repeated member names aren't
-    well-formed.
+    well-formed.  One parse finds out: the payload stands in an array before a mark of our
+    own, and only a whole object leaves the mark in second place.
     """
-    strict = F.try_parse_json(payload).isNotNull() & payload.rlike(r"\}\s*$")
-    return F.when(strict, F.from_json(payload, T.MapType(T.StringType(), T.StringType())))
+    kind = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
+    marked = F.from_json(F.concat(F.lit("["), payload, F.lit(',{"\\u0000end":null}]')), kind, STRICT)
+
+    def whole(a: Column) -> Column:
+        names = F.map_keys(a[0])
+        return F.when((F.size(a) == 2) & F.map_contains_key(a[1], F.lit("\0end")) & (F.size(names) == F.size(F.array_distinct(names))), a[0])
+
+    return let(marked, lambda a: F.when(F.size(a) == 2, whole(a)))
 
 
 def _plain(v: Column) -> Column:
@@ -182,23 +196,24 @@ def _plain(v: Column) -> Column:
     return F.when(number.isNotNull(), F.floor(number).cast("string")).otherwise(bare)
 
 
-def value_agreement(landed: DataFrame, candidates: DataFrame) -> DataFrame:
+def value_agreement(ingested: DataFrame, candidates: DataFrame) -> DataFrame:
     """For each candidate rename: records seen under both names, and with equal values.
 
-    A record lands in several files, under the old and the new schema.
+    A record lands in several files, under the old and the new schema.  ``ingested`` is
+    what ``rescue_ingest`` gives; of a line only the members that are candidates, and the
+    key, go on.
     """
-    members = landed.select("contract_id", parsed_payload(F.col("payload")).alias("m")).where("m is not null")
     sides = candidates.select("contract_id", "version", "old_field", "field", "key_fields", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_old")).withColumn("name", F.when(F.col("is_old"), F.col("old_field")).otherwise(F.col("field")))
-    known = bounded_rows(sides, MAX_METADATA)
-    if known is not None:
-        sides = F.broadcast(landed.sparkSession.createDataFrame(known, sides.schema))
-    key = F.concat_ws("\u0001", F.transform(F.col("key_fields"), lambda k: F.coalesce(F.col("m")[k], F.lit(""))))
-    seen = (
-        members.join(sides, "contract_id")
-        .where(F.map_contains_key(F.col("m"), F.col("name")))
-        .select("contract_id", "version", "old_field", "field", "is_old", key.alias("record"), _plain(F.col("m")[F.col("name")]).alias("v"))
-        .where("record <> '' and v is not null and v <> ''")
+    asked = broadcast_if_small(sides.groupBy(F.col("contract_id").alias("__c")).agg(F.collect_set("name").alias("__names"), F.array_distinct(F.flatten(F.collect_set("key_fields"))).alias("__keys")))
+    members = ingested.where("well_formed").select("contract_id", F.map_concat("typed", "undeclared", "uncastable").alias("m"))
+    entries = (
+        members.join(asked, F.col("contract_id") == F.col("__c"))
+        .select("contract_id", F.map_filter("m", lambda k, v: F.array_contains("__keys", k)).alias("k"), F.explode(F.map_filter("m", lambda k, v: F.array_contains("__names", k) & v.isNotNull())).alias("name", "text"))
+        .withColumn("v", _plain(F.col("text")))
+        .where("v <> ''")
     )
+    key = F.concat_ws("\u0001", F.transform(F.col("key_fields"), lambda k: F.coalesce(F.col("k")[k], F.lit(""))))
+    seen = entries.join(broadcast_if_small(sides), ["contract_id", "name"]).select("contract_id", "version", "old_field", "field", "is_old", key.alias("record"), "v").where("record <> ''")
     both = seen.groupBy("contract_id", "version", "old_field", "field", "record").agg(
         F.min(F.when(F.col("is_old"), F.col("v"))).alias("a0"), F.max(F.when(F.col("is_old"), F.col("v"))).alias("a1"),
         F.min(F.when(~F.col("is_old"), F.col("v"))).alias("b0"), F.max(F.when(~F.col("is_old"), F.col("v"))).alias("b1"),
@@ -207,7 +222,7 @@ def value_agreement(landed: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.groupBy("contract_id", "version", "old_field", "field").agg(F.count("*").alias("n_records"), F.count_if(equal).alias("n_equal"))
 
 
-def schema_changes(contracts: DataFrame, landed: DataFrame | None = None) -> DataFrame:
+def schema_changes(contracts: DataFrame, landed: DataFrame | None = None, ingested: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
     """Every change from one version of a contract to the next.
 
     ``contract_id, version`` (the later one)``, change`` (added, removed, renamed,
@@ -216,14 +231,17 @@ def schema_changes(contracts: DataFrame, landed: DataFrame | None = None) -> Dat
     the same, or, where there is no description to compare, if landed records have the
     same values under both names; without enough such records, if both stand in the same
     place and have the same type.  A renamed field of another type is retyped as well.
+    Landed values come from ``ingested``, or from ``landed``, which is then ingested.
     """
-    fields = schema_fields(contracts)
-    if landed is None:
+    fields = schema_fields(contracts) if fields is None else fields
+    if ingested is None and landed is not None:
+        ingested = rescue_ingest(landed, contracts, fields=fields)
+    if ingested is None:
         agreement = contracts.sparkSession.createDataFrame([], "contract_id string, version string, old_field string, field string, n_records long, n_equal long")
     else:
         pairs = fields.groupBy("contract_id").applyInPandas(_candidates, "contract_id string, version string, old_field string, field string, key_fields array<string>")
-        agreement = value_agreement(landed, pairs)
-    return fields.groupBy("contract_id").cogroup(agreement.groupBy("contract_id")).applyInPandas(lambda f, s: _changes(f, s), CHANGE_SCHEMA)
+        agreement = value_agreement(ingested, kept(pairs))
+    return kept(fields.groupBy("contract_id").cogroup(agreement.groupBy("contract_id")).applyInPandas(lambda f, s: _changes(f, s), CHANGE_SCHEMA))
 
 
 def castable(v: Column, kind: Column) -> Column:
@@ -249,81 +267,123 @@ def castable(v: Column, kind: Column) -> Column:
 
 
 def file_versions(landed: DataFrame) -> DataFrame:
-    """The version each file declares on some of its lines."""
-    return landed.groupBy("contract_id", "file_id").agg(F.max("version").alias("file_version"), F.min("landed_at").alias("file_landed"))
+    """The version that files with lines without one declare on other lines, if any."""
+    by_file = landed.groupBy("contract_id", "file_id").agg(F.max("version").alias("file_version"), F.min("landed_at").alias("file_landed"), F.count_if(F.col("version").isNull()).alias("__open"))
+    return by_file.where("__open > 0").drop("__open")
+
 
+#: Where a member belongs.
+TYPED, UNDECLARED, UNCASTABLE = 0, 1, 2
 
-def rescue_ingest(landed: DataFrame, contracts: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+
+def _members_in(places: Sequence[int], entries: Column) -> Column:
+    """Members (key, value, place) of some places as a map."""
+    return F.map_from_entries(F.transform(F.filter(entries, lambda e: e["place"].isin(*places)), lambda e: F.struct(e["key"], e["value"])))
+
+
+def rescue_ingest(landed: DataFrame, contracts: DataFrame, extra: Sequence[str] = (), fields: DataFrame | None = None) -> DataFrame:
     """Landed lines as ``typed`` and ``rescued`` members under their file's version.
 
     Result: ``contract_id, file_id, line_in_file, file_version, well_formed, typed``
     (map, declared and castable)``, undeclared`` (map)``, uncastable`` (map)``, rescued``
     (JSON of both, or the payload itself when it isn't a JSON object) and ``extra``
-    columns.  A file that declares its version nowhere is read with the version in force
-    when it landed; if there is none, everything in it is undeclared.
+    columns.  A line without a version has that of its file's other lines; a file that
+    declares its version nowhere is read with the version in force when it landed; if
+    there is none, everything in it is undeclared.  Only lines without a version meet
+    their files' versions in a join, so a huge file isn't brought together.
     """
-    fields = schema_fields(contracts)
+    fields = schema_fields(contracts) if fields is None else fields
     declared = fields.groupBy("contract_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("field", "kind"))).alias("declared"))
     declared = declared.join(contracts.groupBy("contract_id", "version").agg(F.min("published_at").alias("from_time")), ["contract_id", "version"])
-    known = bounded_rows(declared, MAX_METADATA)
-    if known is not None:
-        declared = landed.sparkSession.createDataFrame(known, declared.schema)
-    named = declared.select(F.col("contract_id").alias("__c"), F.col("version").alias("__v"), "declared", "from_time")
+    named = broadcast_if_small(declared.select(F.col("contract_id").alias("__c"), F.col("version").alias("__v"), "declared", "from_time"), MAX_METADATA)
     files = file_versions(landed)
-    by_name = files.where("file_version is not null").join(F.broadcast(named) if known is not None else named, (F.col("contract_id") == F.col("__c")) & (F.col("file_version") == F.col("__v")), "left").select("contract_id", "file_id", "file_version", "declared")
-    unnamed = files.where("file_version is null")
     in_force = (
-        unnamed.join(F.broadcast(named) if known is not None else named, (F.col("contract_id") == F.col("__c")) & (F.col("from_time") <= F.col("file_landed")), "left")
+        files.where("file_version is null").join(named, (F.col("contract_id") == F.col("__c")) & (F.col("from_time") <= F.col("file_landed")), "left")
         .groupBy("contract_id", "file_id")
         .agg(F.max_by("__v", F.struct("from_time", "__v")).alias("file_version"))
-        .join(F.broadcast(named) if known is not None else named, (F.col("contract_id") == F.col("__c")) & (F.col("file_version") == F.col("__v")), "left")
-        .select("contract_id", "file_id", "file_version", "declared")
     )
-    resolved = by_name.unionByName(in_force).withColumnsRenamed({"contract_id": "__fc", "file_id": "__ff"})
-    lines = landed.select("contract_id", "file_id", "line_in_file", *extra, "payload", parsed_payload(F.col("payload")).alias("m"))
-    j = lines.join(resolved, F.col("contract_id").eqNullSafe(F.col("__fc")) & F.col("file_id").eqNullSafe(F.col("__ff")), "left").drop("__fc", "__ff")
+    resolved = files.where("file_version is not null").select("contract_id", "file_id", "file_version").unionByName(in_force).withColumnsRenamed({"contract_id": "__fc", "file_id": "__ff"})
+    resolved = broadcast_if_small(resolved, MAX_METADATA)
+    own = [F.col(c) for c in ("contract_id", "file_id", "line_in_file", *extra)]
+    told = landed.where("version is not null").select(*own, F.col("version").alias("file_version"), "payload")
+    untold = landed.where("version is null").join(resolved, F.col("contract_id").eqNullSafe(F.col("__fc")) & F.col("file_id").eqNullSafe(F.col("__ff")), "left").select(*own, "file_version", "payload")
+    lines = told.unionByName(untold).withColumn("m", parsed_payload(F.col("payload")))
+    j = lines.join(named, (F.col("contract_id") == F.col("__c")) & (F.col("file_version") == F.col("__v")), "left")
     d = F.coalesce(F.col("declared"), F.create_map().cast("map<string,string>"))
-    fits = lambda k, v: castable(v, d[k])
-    return j.select(
-        "contract_id", "file_id", "line_in_file", *extra, "file_version",
-        F.col("m").isNotNull().alias("well_formed"),
-        F.map_filter("m", lambda k, v: F.map_contains_key(d, k) & fits(k, v)).alias("typed"),
-        F.map_filter("m", lambda k, v: ~F.map_contains_key(d, k)).alias("undeclared"),
-        F.map_filter("m", lambda k, v: F.map_contains_key(d, k) & ~fits(k, v)).alias("uncastable"),
-        F.when(F.col("m").isNull(), F.col("payload")).otherwise(F.to_json(F.map_filter("m", lambda k, v: ~F.map_contains_key(d, k) | ~fits(k, v)))).alias("rescued"),
+    place = lambda e: F.when(~F.map_contains_key(d, e["key"]), UNDECLARED).when(castable(e["value"], d[e["key"]]), TYPED).otherwise(UNCASTABLE)
+    placed = j.select(
+        *own, "file_version", F.col("m").isNotNull().alias("well_formed"), "payload",
+        F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), place(e).alias("place"))).alias("__e"),
+    )
+    return placed.select(
+        *own, "file_version", "well_formed",
+        _members_in([TYPED], F.col("__e")).alias("typed"), _members_in([UNDECLARED], F.col("__e")).alias("undeclared"), _members_in([UNCASTABLE], F.col("__e")).alias("uncastable"),
+        F.when(F.col("well_formed"), F.to_json(_members_in([UNDECLARED, UNCASTABLE], F.col("__e")))).otherwise(F.col("payload")).alias("rescued"),
     )
 
 
+def stored_ingest(landed: DataFrame, contracts: DataFrame, extra: Sequence[str] = (), fields: DataFrame | None = None) -> DataFrame:
+    """``rescue_ingest`` written to the shared folder, for several plans to read."""
+    path = shared_dir(landed.sparkSession, "ingested")
+    rescue_ingest(landed, contracts, extra, fields).write.parquet(path)
+    return landed.sparkSession.read.parquet(path)
+
+
 def undeclared_fields(ingested: DataFrame) -> DataFrame:
     """One row per file and field name, exactly as spelled, that its version doesn't declare."""
     return ingested.where("size(undeclared) > 0").select("contract_id", "file_version", "file_id", F.explode(F.map_keys("undeclared")).alias("field")).distinct()
 
 
-def promote(ingested: DataFrame, approved: dict[str, str]) -> DataFrame:
-    """Moves approved fields (name to kind) from the rescue column into ``typed``.
+def promote(ingested: DataFrame, approved: dict[str, str] | DataFrame) -> DataFrame:
+    """Moves approved fields from the rescue column into ``typed`` by replaying their values.
 
+    ``approved``: kinds by name, for all lines, or a frame ``contract_id, version, field,
+    kind`` for lines of that contract and version (an empty version: lines without any).
     Values that can't be cast stay rescued; replaying twice changes nothing.
     """
-    if not approved:
-        return ingested
-    kinds = F.create_map(*[F.lit(x) for kv in approved.items() for x in kv])
-    rest = F.map_concat("undeclared", F.map_filter("uncastable", lambda k, v: ~F.map_contains_key(F.col("undeclared"), k)))
-    now = F.map_filter(rest, lambda k, v: F.map_contains_key(kinds, k) & castable(v, kinds[k]))
-    stay = lambda c: F.map_filter(c, lambda k, v: ~(F.map_contains_key(kinds, k) & castable(v, kinds[k])))
-    return ingested.select(
-        *[F.col(c) for c in ingested.columns if c not in ("typed", "undeclared", "uncastable", "rescued")],
-        F.map_concat("typed", F.map_filter(now, lambda k, v: ~F.map_contains_key(F.col("typed"), k))).alias("typed"),
-        stay("undeclared").alias("undeclared"), stay("uncastable").alias("uncastable"),
-        F.when(~F.col("well_formed"), F.col("rescued")).otherwise(F.to_json(stay(rest))).alias("rescued"),
+    if isinstance(approved, dict):
+        if not approved:
+            return ingested
+        lines, kinds = ingested, F.create_map(*[F.lit(x) for kv in approved.items() for x in kv])
+    else:
+        by_version = broadcast_if_small(approved.groupBy(F.col("contract_id").alias("__c"), F.col("version").alias("__v")).agg(F.map_from_entries(F.collect_list(F.struct("field", "kind"))).alias("__kinds")), MAX_METADATA)
+        lines = ingested.join(by_version, (F.col("contract_id") == F.col("__c")) & (F.coalesce("file_version", F.lit("")) == F.col("__v")), "left")
+        kinds = F.coalesce(F.col("__kinds"), F.create_map().cast("map<string,string>"))
+    rest = F.concat(
+        F.transform(F.map_entries("undeclared"), lambda e: F.struct(e["key"], e["value"], F.lit(UNDECLARED).alias("place"))),
+        F.transform(F.map_entries("uncastable"), lambda e: F.struct(e["key"], e["value"], F.lit(UNCASTABLE).alias("place"))),
+    )
+    goes = lambda e: F.map_contains_key(kinds, e["key"]) & ~F.map_contains_key(F.col("typed"), e["key"]) & castable(e["value"], kinds[e["key"]])
+    keep = [F.col(c) for c in ingested.columns if c not in ("typed", "undeclared", "uncastable", "rescued")]
+    placed = lines.select(*keep, "typed", "rescued", F.transform(rest, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.when(goes(e), TYPED).otherwise(e["place"]).alias("place"))).alias("__e"))
+    return placed.select(
+        *keep,
+        F.map_concat("typed", _members_in([TYPED], F.col("__e"))).alias("typed"),
+        _members_in([UNDECLARED], F.col("__e")).alias("undeclared"), _members_in([UNCASTABLE], F.col("__e")).alias("uncastable"),
+        F.when(~F.col("well_formed"), F.col("rescued")).otherwise(F.to_json(_members_in([UNDECLARED, UNCASTABLE], F.col("__e")))).alias("rescued"),
     )
 
 
-def current_names(changes: DataFrame, contracts: DataFrame) -> DataFrame:
+def current_kinds(fields: DataFrame, names: DataFrame) -> DataFrame:
+    """``contract_id, version, field, kind``: what each version's fields are typed as now.
+
+    Of every version the fields that still exist, as that version and as the last one
+    calls them, with the last version's type; also for an empty version.
+    """
+    last = fields.groupBy("contract_id").agg(F.max("step").alias("step")).join(fields, ["contract_id", "step"]).select("contract_id", F.col("field").alias("current"), "kind")
+    own = names.join(last, ["contract_id", "current"]).select("contract_id", "version", "field", "kind", F.lit(0).alias("rank"))
+    versions = names.select("contract_id", "version").distinct()
+    versions = versions.unionByName(versions.select("contract_id", F.lit("").alias("version")).distinct())
+    now = versions.join(last, "contract_id").select("contract_id", "version", F.col("current").alias("field"), "kind", F.lit(1).alias("rank"))
+    return own.unionByName(now).groupBy("contract_id", "version", "field").agg(F.min_by("kind", "rank").alias("kind"))
+
+
+def current_names(changes: DataFrame, contracts: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """``contract_id, version, field, current``: what a field of a version is called now.
 
     A field removed later keeps its last name.
     """
-    fields = schema_fields(contracts).select("contract_id", "version", "step", "field")
+    fields = (schema_fields(contracts) if fields is None else fields).select("contract_id", "version", "step", "field")
 
     def follow(f: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         steps = dict(zip(f["version"], f["step"]))
@@ -337,16 +397,13 @@ def current_names(changes: DataFrame, contracts: DataFrame) -> DataFrame:
             out.append((r.contract_id, r.version, r.field, name))
         return pd.DataFrame(out, columns=["contract_id", "version", "field", "current"])
 
-    return fields.groupBy("contract_id").cogroup(changes.groupBy("contract_id")).applyInPandas(follow, "contract_id string, version string, field string, current string")
+    return kept(fields.groupBy("contract_id").cogroup(changes.groupBy("contract_id")).applyInPandas(follow, "contract_id string, version string, field string, current string"))
 
 
 def consistent_rows(ingested: DataFrame, names: DataFrame) -> DataFrame:
     """Typed members of all files under the fields' current names, as ``row`` (map)."""
     by_version = names.groupBy("contract_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("field", "current"))).alias("__names"))
-    by_version = by_version.withColumnsRenamed({"contract_id": "__c", "version": "__v"})
-    known = bounded_rows(by_version, MAX_METADATA)
-    if known is not None:
-        by_version = F.broadcast(ingested.sparkSession.createDataFrame(known, by_version.schema))
+    by_version = broadcast_if_small(by_version.withColumnsRenamed({"contract_id": "__c", "version": "__v"}), MAX_METADATA)
     j = ingested.join(by_version, (F.col("contract_id") == F.col("__c")) & (F.col("file_version") == F.col("__v")), "left")
     # A payload may hold a field's old and new name at once: the current name's value counts.
     entries = F.map_entries("typed")

@@ -93,3 +93,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int =
     """The frame as a broadcast of its rows where those are few, else as it is."""
     rows = bounded_rows(df, max_rows, max_bytes)
     return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def kept(df: DataFrame, max_rows: int = 200_000, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """A frame that several plans read, worked out once: as rows, or stored if they are many."""
+    rows = bounded_rows(df, max_rows, max_bytes)
+    if rows is not None:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    path = shared_dir(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
