@@ -67,6 +67,14 @@ def test_both_decoders_agree(spark):
     assert pg.decode_messages(messages(spark, STREAM)).count() == 6 and pg.decode_messages(messages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [1, 2, 5])
+def test_captures_and_transactions_longer_than_a_stretch(spark, monkeypatch, stretch):
+    monkeypatch.setattr(pg, "STRETCH", stretch)
+    both = messages(spark, STREAM).unionByName(messages(spark, STREAM[:9], "b"))
+    rows = pg.decode_messages(both, "public.orders").groupBy("xid", "change_index", "op").count().orderBy("xid", "change_index").collect()
+    assert [tuple(r) for r in rows] == [(7, 0, "I", 2), (7, 1, "U", 2), (7, 2, "U", 2), (7, 3, "D", 2), (8, 0, "I", 1)]
+
+
 @pytest.mark.parametrize("bad", [[begin(1), b"T\0"], [begin(1), change("I", b"N", tup("1"), rid=99), commit(1)], [relation(), begin(1), change("I", b"N", tup("1")), commit(1)], [relation(), begin(1), change("I", b"K", tup("1", "2")), commit(1)], [relation(), begin(1), change("I", b"N", b"\0\2t\0\0"), commit(1)]])
 def test_broken_streams_fail(spark, bad):
     with pytest.raises(pg.PgOutputError):

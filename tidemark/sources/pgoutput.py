@@ -1,10 +1,11 @@
 """Decoding PostgreSQL's pgoutput messages into change events.
 
 Captured messages come as a frame of ``capture`` (a file or micro-batch), ``seq`` (order
-within it) and ``data``.  Message headers are read by built-in functions; transactions are
-framed by a running count of BEGINs within a capture, relations are looked up as of a
-change, and only tuples go through an Arrow-batched function.  A transaction without its
-COMMIT in the capture gives nothing.
+within it) and ``data``.  Message headers are read by built-in functions; only relations
+(once each) and tuples go through an Arrow-batched function.  A capture is cut into
+stretches of ``seq``: the last BEGIN and the changes counted before a stretch are carried
+into it, so neither a capture nor a transaction is brought into one task.  A transaction
+without its COMMIT in the capture gives nothing.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.lsn import int_to_lsn
+from tidemark.session import broadcast_if_small
 
 #: Microseconds from 1970 to 2000, where the protocol's clock begins (fixed value).
 EPOCH_MICROS = 946_684_800_000_000
 CHANGES = ("I", "U", "D")
+#: Values of ``seq`` that one task frames together.
+STRETCH = 65_536
 
 
 class PgOutputError(ValueError):
@@ -148,7 +152,8 @@ def _relation(data: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.StructType().add("old_key", T.StringType()).add("row_after", T.StringType()).add("unchanged", T.ArrayType(T.StringType())))
 def _change(data: pd.Series, columns: pd.Series) -> pd.DataFrame:
-    out = [read_change(bytes(x), list(n)) for x, n in zip(data, columns)]
+    names: dict[str, list[str]] = {}
+    out = [read_change(bytes(x), names[n] if n in names else names.setdefault(n, n.split("\0") if n else [])) for x, n in zip(data, columns)]
     text = lambda v: None if v is None else json.dumps(v, ensure_ascii=False)
     return pd.DataFrame({"old_key": [text(o["old"]) for o in out], "row_after": [text(o["new"]) for o in out], "unchanged": [o["unchanged"] for o in out]})
 
@@ -173,24 +178,41 @@ def decode_messages(messages: DataFrame, table: str | None = None) -> DataFrame:
     m = m.withColumn("kind", F.char(F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("int")))
     m = m.where(F.col("kind").isin("B", "C", "R", "T", *CHANGES))
     m = m.withColumn("kind", F.when(F.col("kind") == "T", F.raise_error(F.lit("TRUNCATE can't be replicated"))).otherwise(F.col("kind")))
-    in_order = Window.partitionBy("capture").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("txn", F.sum(F.when(F.col("kind") == "B", 1).otherwise(0)).over(in_order))
-    m = m.withColumn("rel_id", F.when(F.col("kind").isin("R", *CHANGES), _u32(F.col("data"), 2)))
-    as_of = Window.partitionBy("capture", "rel_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("rel_data", F.last(F.when(F.col("kind") == "R", F.col("data")), ignorenulls=True).over(as_of))
-    changes = m.where(F.col("kind").isin(*CHANGES))
-    changes = changes.withColumn("rel", F.when(F.col("rel_data").isNull(), F.raise_error(F.lit("a change of a relation that wasn't announced"))).otherwise(F.col("rel_data")))
-    changes = changes.withColumn("rel", _relation("rel"))
+    m = m.withColumn("stretch", F.floor(F.col("seq") / F.lit(STRETCH)))
+
+    # The BEGIN that each message comes after, within its stretch or carried into it.
+    begins = m.groupBy("capture", "stretch").agg(F.max(F.when(F.col("kind") == "B", F.col("seq"))).alias("last"))
+    earlier = Window.partitionBy("capture").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = begins.select("capture", "stretch", F.max("last").over(earlier).alias("carried"))
+    in_order = Window.partitionBy("capture", "stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    framed = m.where("kind <> 'R'").withColumn("begun", F.last(F.when(F.col("kind") == "B", F.col("seq")), ignorenulls=True).over(in_order))
+    framed = framed.join(carried, ["capture", "stretch"]).withColumn("begin_seq", F.coalesce("begun", "carried")).drop("begun", "carried")
+
+    begin = m.where("kind = 'B'").select("capture", F.col("seq").alias("begin_seq"), _u32(F.col("data"), 18).alias("xid"))
+    commit = framed.where("kind = 'C'").select("capture", "begin_seq", F.col("seq").alias("commit_seq"), _lsn(F.col("data"), 3).alias("commit_lsn"), _lsn(F.col("data"), 11).alias("end_lsn"), F.timestamp_micros(F.conv(F.hex(F.substring("data", 19, 8)), 16, -10).cast("bigint") + EPOCH_MICROS).alias("commit_ts"))
+    # The first COMMIT after a BEGIN ends it; what follows belongs to nothing.
+    commit = commit.groupBy("capture", "begin_seq").agg(*[F.min_by(c, "commit_seq").alias(c) for c in ("commit_lsn", "end_lsn", "commit_ts")], F.min("commit_seq").alias("commit_seq"))
+    transactions = begin.join(commit, ["capture", "begin_seq"])
+
+    # A relation is announced once, and again when it changes: few messages, all of them
+    # looked up by capture and number, and the last before the change taken.
+    announced = m.where("kind = 'R'").select("capture", "seq", _u32(F.col("data"), 2).alias("rel_id"), _relation("data").alias("rel"))
+    announced = announced.select("capture", "rel_id", F.struct("seq", F.col("rel.name").alias("name"), F.array_join("rel.columns", "\0").alias("columns")).alias("r"))
+    relations = broadcast_if_small(announced.groupBy("capture", "rel_id").agg(F.array_sort(F.collect_list("r")).alias("rels")))
+    changes = framed.where(F.col("kind").isin(*CHANGES)).withColumn("rel_id", _u32(F.col("data"), 2)).join(relations, ["capture", "rel_id"], "left")
+    as_of = F.try_element_at(F.filter("rels", lambda r: r["seq"] < F.col("seq")), F.lit(-1))
+    changes = changes.withColumn("as_of", as_of).withColumn("rel", F.when(F.col("as_of").isNotNull(), F.col("as_of")).otherwise(F.raise_error(F.lit("a change of a relation that wasn't announced")))).drop("rels", "as_of")
     if table is not None:
         changes = changes.where(F.col("rel.name") == table)
-    changes = changes.withColumn("c", _change("data", F.col("rel.columns")))
-    begin = m.where("kind = 'B'").select("capture", "txn", _u32(F.col("data"), 18).alias("xid"))
-    commit = m.where("kind = 'C'").select("capture", "txn", F.col("seq").alias("commit_seq"), _lsn(F.col("data"), 3).alias("commit_lsn"), _lsn(F.col("data"), 11).alias("end_lsn"), F.timestamp_micros(F.conv(F.hex(F.substring("data", 19, 8)), 16, -10).cast("bigint") + EPOCH_MICROS).alias("commit_ts"))
-    # The first COMMIT after a BEGIN ends it; what follows belongs to nothing.
-    commit = commit.groupBy("capture", "txn").agg(*[F.min_by(c, "commit_seq").alias(c) for c in ("commit_lsn", "end_lsn", "commit_ts")], F.min("commit_seq").alias("commit_seq"))
-    done = changes.join(begin, ["capture", "txn"]).join(commit, ["capture", "txn"]).where("seq < commit_seq")
-    index = F.row_number().over(Window.partitionBy("capture", "txn").orderBy("seq")) - 1
-    return done.select(F.col("kind").alias("op"), "commit_lsn", "end_lsn", index.cast("bigint").alias("change_index"), "xid", "commit_ts", F.col("rel.name").alias("relation"), "c.old_key", "c.row_after", "c.unchanged")
+
+    # Changes are counted within stretches, and those of a transaction's earlier stretches added.
+    own = ["capture", "begin_seq", "stretch"]
+    before = Window.partitionBy("capture", "begin_seq").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    parts = changes.groupBy(*own).agg(F.count("*").alias("n")).select(*own, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    index = F.row_number().over(Window.partitionBy("capture", "stretch", "begin_seq").orderBy("seq")) - 1
+    done = changes.withColumn("index", index).join(parts.join(transactions, ["capture", "begin_seq"]), own).where("seq < commit_seq")
+    done = done.withColumn("c", _change("data", F.col("rel.columns")))
+    return done.select(F.col("kind").alias("op"), "commit_lsn", "end_lsn", (F.col("index") + F.col("offset")).cast("bigint").alias("change_index"), "xid", "commit_ts", F.col("rel.name").alias("relation"), "c.old_key", "c.row_after", "c.unchanged")
 
 
 def keep_unchanged(events: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:

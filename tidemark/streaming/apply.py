@@ -25,8 +25,12 @@ def batch_applier(table: VersionedTable, dialect: Dialect, prepare: Callable[[Da
         done = table.last_info().get("stream_batches", {})
         if int(done.get(query, -1)) >= batch_id:
             return None
-        events = prepare(batch) if prepare else batch
-        return apply_delta(events, table, dialect, {"stream_batches": {**done, query: batch_id}})
+        # A source such as a slot is read once for a batch, not once for every pass over it.
+        kept = batch.persist()
+        try:
+            return apply_delta(prepare(kept) if prepare else kept, table, dialect, {"stream_batches": {**done, query: batch_id}})
+        finally:
+            kept.unpersist()
 
     return run
 
