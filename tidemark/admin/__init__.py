@@ -17,22 +17,31 @@ class Connection(Protocol):
     def execute(self, sql: str, params: Mapping[str, Any] | None = None, autocommit: bool = False) -> None: ...
 
 
-def psycopg2_connection(dsn: str) -> Connection:
-    """A connection that runs a statement per transaction (or in autocommit)."""
+def psycopg2_connection(dsn: str, connect_timeout: int | None = None, statement_timeout_ms: int | None = None) -> Connection:
+    """A connection that runs a statement per transaction (or in autocommit).
+
+    Limits are in seconds for connecting and in milliseconds for each statement.
+    """
     try:
         import psycopg2
         from psycopg2.extras import RealDictCursor
     except ImportError as e:
         raise RuntimeError("a PostgreSQL connection needs psycopg2") from e
 
+    limits: dict[str, Any] = {}
+    if connect_timeout:
+        limits["connect_timeout"] = connect_timeout
+    if statement_timeout_ms:
+        limits["options"] = f"-c statement_timeout={int(statement_timeout_ms)}"
+
     class _Connection:
         def query(self, sql, params=None):
-            with psycopg2.connect(dsn) as conn, conn.cursor(cursor_factory=RealDictCursor) as cur:
+            with psycopg2.connect(dsn, **limits) as conn, conn.cursor(cursor_factory=RealDictCursor) as cur:
                 cur.execute(sql, params)
                 return cur.fetchall()
 
         def execute(self, sql, params=None, autocommit=False):
-            conn = psycopg2.connect(dsn)
+            conn = psycopg2.connect(dsn, **limits)
             try:
                 conn.autocommit = autocommit
                 with conn.cursor() as cur:

@@ -77,9 +77,9 @@ def current_lsn_sql() -> str:
     return "SELECT pg_current_wal_lsn()::text AS lsn"
 
 
-def peek_sql() -> str:
+def peek_sql(messages: bool = False) -> str:
     """Messages of a slot without taking them."""
-    return "SELECT lsn::text AS lsn, xid::text AS xid, data FROM pg_logical_slot_peek_binary_changes(%(slot)s, NULL, %(n)s, 'proto_version', '1', 'publication_names', %(publication)s)"
+    return "SELECT lsn::text AS lsn, xid::text AS xid, data FROM pg_logical_slot_peek_binary_changes(%(slot)s, NULL, %(n)s, 'proto_version', '1', 'publication_names', %(publication)s" + (", 'messages', 'true')" if messages else ")")
 
 
 def slot_info(conn: Connection, slot: str) -> dict[str, Any] | None:
@@ -150,7 +150,7 @@ def ensure_cdc_capture(conn: Connection, source_table: str, publication: str, sl
     return out
 
 
-def peek_messages(conn: Connection, slot: str, publication: str, limit: int = 100) -> list[bytes]:
+def peek_messages(conn: Connection, slot: str, publication: str, limit: int = 100, messages: bool = False) -> list[bytes]:
     """The next messages of an idle logical slot, left where they are."""
     if limit <= 0:
         raise ValueError("limit must be greater than zero")
@@ -161,4 +161,4 @@ def peek_messages(conn: Connection, slot: str, publication: str, limit: int = 10
         raise ValueError(f"the slot {slot!r} isn't a logical slot of {PLUGIN}")
     if info["active"]:
         raise ValueError(f"the slot {slot!r} is in use")
-    return [bytes(r["data"]) for r in conn.query(peek_sql(), {"slot": slot, "publication": publication, "n": limit})]
+    return [bytes(r["data"]) for r in conn.query(peek_sql(messages), {"slot": slot, "publication": publication, "n": limit})]

@@ -28,8 +28,25 @@ def add_output_options(p: argparse.ArgumentParser) -> None:
 
 def add_contract_options(p: argparse.ArgumentParser) -> None:
     p.add_argument("--contract-file")
-    for name in ("registry-url", "namespace", "name", "contract-version", "token", "oidc-token-url", "oidc-client-id", "oidc-client-secret", "oidc-scope"):
+    p.add_argument("--registry-url", "--contracts-service-url")
+    for name in ("namespace", "name", "contract-version"):
         p.add_argument(f"--{name}")
+    for name in ("token", "oidc-token-url", "oidc-client-id", "oidc-client-secret", "oidc-scope"):
+        p.add_argument(f"--{name}", "--contracts-" + name.replace("token", "access-token", 1) if name == "token" else f"--contracts-{name}")
+    p.add_argument("--oidc-no-verify-tls", "--contracts-oidc-no-verify-ssl", action="store_true", help="accept any certificate of the token service")
+
+
+def add_connection_options(p: argparse.ArgumentParser) -> None:
+    p.add_argument("--dsn", "--source-admin-dsn", help="or SOURCE_DSN in the environment")
+    p.add_argument("--connect-timeout", type=int, default=5, help="seconds")
+    p.add_argument("--statement-timeout-ms", type=int, default=10_000)
+
+
+def connection_of(args: argparse.Namespace, connect: Callable[..., Any]) -> Any:
+    """A connection within the limits given."""
+    if args.connect_timeout <= 0 or args.statement_timeout_ms <= 0:
+        raise CliError("timeouts must be greater than zero")
+    return connect(dsn_of(args), args.connect_timeout, args.statement_timeout_ms)
 
 
 def contract_from(args: argparse.Namespace) -> Contract:
@@ -45,7 +62,7 @@ def contract_from(args: argparse.Namespace) -> Contract:
         raise CliError("give a token or OIDC options, not both")
     if any(oidc) and not all(oidc):
         raise CliError("OIDC needs a token URL, a client id and a client secret")
-    provider = (lambda: access_token(ClientCredentials(*oidc, scope=args.oidc_scope))) if all(oidc) else None
+    provider = (lambda: access_token(ClientCredentials(*oidc, scope=args.oidc_scope, verify_tls=not args.oidc_no_verify_tls))) if all(oidc) else None
     return ContractRegistry(args.registry_url, token=args.token, token_provider=provider).fetch(args.namespace, args.name, args.contract_version).check()
 
 

@@ -7,14 +7,14 @@ import sys
 
 from tidemark.admin import psycopg2_connection
 from tidemark.admin.audit import MODES, ensure_audit_capture
-from tidemark.cli import add_contract_options, add_output_options, contract_from, dsn_of, run_main, write_json
+from tidemark.cli import add_connection_options, add_contract_options, add_output_options, connection_of, contract_from, run_main, write_json
 
 connect = psycopg2_connection
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemark-ensure-audit", description=__doc__)
-    p.add_argument("--dsn")
+    add_connection_options(p)
     p.add_argument("--source-table", required=True)
     p.add_argument("--audit-table", required=True)
     p.add_argument("--watermark-mode", choices=MODES, default="auto")
@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace) -> None:
     contract = contract_from(args)
-    write_json(ensure_audit_capture(connect(dsn_of(args)), args.source_table, args.audit_table, contract, args.watermark_mode, args.replace_trigger).to_dict(), args.pretty)
+    write_json(ensure_audit_capture(connection_of(args, connect), args.source_table, args.audit_table, contract, args.watermark_mode, args.replace_trigger).to_dict(), args.pretty)
 
 
 def main(argv: list[str] | None = None) -> int:

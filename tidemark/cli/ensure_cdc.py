@@ -7,14 +7,14 @@ import sys
 
 from tidemark.admin import psycopg2_connection
 from tidemark.admin.cdc import IDENTITIES, ensure_cdc_capture
-from tidemark.cli import add_output_options, dsn_of, run_main, write_json
+from tidemark.cli import add_connection_options, add_output_options, connection_of, run_main, write_json
 
 connect = psycopg2_connection
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemark-ensure-cdc", description=__doc__)
-    p.add_argument("--dsn")
+    add_connection_options(p)
     p.add_argument("--source-table", required=True)
     p.add_argument("--publication", required=True)
     p.add_argument("--slot", required=True)
@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace) -> None:
     done = ensure_cdc_capture(
-        connect(dsn_of(args)), args.source_table, args.publication, args.slot, replace_publication=args.replace_publication, create_slot=not args.no_create_slot,
+        connection_of(args, connect), args.source_table, args.publication, args.slot, replace_publication=args.replace_publication, create_slot=not args.no_create_slot,
         replica_identity=args.replica_identity, write_settings=args.write_settings, slots=args.max_replication_slots, senders=args.max_wal_senders,
     )
     write_json(done.to_dict(), args.pretty)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import ssl
 import urllib.error
 import urllib.parse
 import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +30,7 @@ class ClientCredentials:
     scope: str | None = None
     audience: str | None = None
     timeout: float = 30
+    verify_tls: bool = True
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,7 @@ class WebIdentity:
     session_name: str = "ingestion"
     seconds: int = 3600
     timeout: float = 30
+    verify_tls: bool = True
 
 
 @dataclass(frozen=True)
@@ -47,10 +51,12 @@ class TemporaryCredentials:
     expires_at: dt.datetime | None
 
 
-def http_post(url: str, form: dict[str, str], timeout: float) -> tuple[int, bytes]:
+def http_post(url: str, form: dict[str, str], timeout: float, verify_tls: bool = True) -> tuple[int, bytes]:
+    """One POST of a form; without ``verify_tls`` any certificate is accepted (test set-ups)."""
+    context = None if verify_tls else ssl._create_unverified_context()
     req = urllib.request.Request(url, data=urllib.parse.urlencode(form).encode(), headers={"Content-Type": "application/x-www-form-urlencoded"})
     try:
-        with urllib.request.urlopen(req, timeout=timeout) as r:
+        with urllib.request.urlopen(req, timeout=timeout, context=context) as r:
             return r.status, r.read()
     except urllib.error.HTTPError as e:
         return e.code, e.read()
@@ -66,7 +72,8 @@ def _answer(post: Post, url: str, form: dict[str, str], timeout: float, what: st
     return body
 
 
-def access_token(c: ClientCredentials, post: Post = http_post) -> str:
+def access_token(c: ClientCredentials, post: Post | None = None) -> str:
+    post = post or partial(http_post, verify_tls=c.verify_tls)
     form = {"grant_type": "client_credentials", "client_id": c.client_id, "client_secret": c.client_secret}
     form |= {k: v for k, v in (("scope", c.scope), ("audience", c.audience)) if v}
     try:
@@ -78,7 +85,8 @@ def access_token(c: ClientCredentials, post: Post = http_post) -> str:
     return str(token)
 
 
-def assume_role(w: WebIdentity, token: str, post: Post = http_post) -> TemporaryCredentials:
+def assume_role(w: WebIdentity, token: str, post: Post | None = None) -> TemporaryCredentials:
+    post = post or partial(http_post, verify_tls=w.verify_tls)
     form = {"Action": "AssumeRoleWithWebIdentity", "Version": "2011-06-15", "WebIdentityToken": token, "DurationSeconds": str(w.seconds), "RoleSessionName": w.session_name}
     form |= {"RoleArn": w.role_arn} if w.role_arn else {}
     try:
@@ -92,7 +100,7 @@ def assume_role(w: WebIdentity, token: str, post: Post = http_post) -> Temporary
     return TemporaryCredentials(found["AccessKeyId"], found["SecretAccessKey"], found["SessionToken"], dt.datetime.fromisoformat(until.replace("Z", "+00:00")) if until else None)
 
 
-def exchange(c: ClientCredentials, w: WebIdentity, post: Post = http_post) -> TemporaryCredentials:
+def exchange(c: ClientCredentials, w: WebIdentity, post: Post | None = None) -> TemporaryCredentials:
     return assume_role(w, access_token(c, post), post)
 
 
