@@ -7,10 +7,10 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tidemark.plans import change_queries, contract_queries
+from tidemark.plans import change_queries, contract_queries, pipeline_queries
 
-QUERIES = change_queries.QUERIES | contract_queries.QUERIES
-ORACLE = change_queries.ORACLE | contract_queries.ORACLE
+QUERIES = change_queries.QUERIES | contract_queries.QUERIES | pipeline_queries.QUERIES
+ORACLE = change_queries.ORACLE | contract_queries.ORACLE | pipeline_queries.ORACLE
 
 
 @pytest.fixture(scope="module")

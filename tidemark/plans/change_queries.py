@@ -10,7 +10,7 @@ from tidemark.functions.lsn import lsn_col, lsn_text
 from tidemark.functions.times import utc_micros
 from tidemark.operators import change_feed as cf
 from tidemark.operators import drift, incremental, late_events, redelivery, snapshots
-from tidemark.session import bounded_rows, broadcast_if_small, shared_dir
+from tidemark.session import broadcast_if_small, shared_dir
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -44,27 +44,15 @@ _VALUES = ("customer_id", "amount", "status", "updated_at", "order_id", "line_no
 
 def _snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "snapshot_rows")
-    contracts = table(spark, d, "contracts").groupBy("contract_id").agg(F.max_by(F.struct("hash_keys", "fields", "primary_keys", "business_keys"), F.struct("published_at", "version")).alias("c"))
-    used = contracts.join(rows.select("contract_id").distinct(), "contract_id", "left_semi")
-    metadata = bounded_rows(used.select("contract_id", "c.*"), 10_000)
-    if metadata is None:
-        raise ValueError("more contracts with snapshots than expected: 10000")
-    by_spec: dict[tuple, list[str]] = {}
-    keyed: dict[tuple, list[str]] = {}
-    for m in metadata:
-        hashed = tuple(m["hash_keys"] or m["fields"] or ())
-        by_spec.setdefault(tuple(c for c in _VALUES if c in hashed), []).append(m["contract_id"])
-        key = tuple(m["primary_keys"] or m["business_keys"] or ())
-        keyed.setdefault(tuple(c for c in ("order_id", "line_no") if c in key), []).append(m["contract_id"])
-
-    def of_contract(name: str, specs: dict[tuple, list[str]]):
-        ids = sorted(i for spec, own in specs.items() if name in spec for i in own)
-        return F.when(F.col("contract_id").isin(ids), F.col(name)) if ids else F.lit(None)
-
+    newest = table(spark, d, "contracts").groupBy("contract_id").agg(F.max_by(F.struct("hash_keys", "fields", "primary_keys", "business_keys"), F.struct("published_at", "version")).alias("c"))
+    filled = lambda *names: F.coalesce(*[F.when(F.size(f"c.{n}") > 0, F.col(f"c.{n}")) for n in names], F.array().cast("array<string>"))
+    specs = newest.select(F.col("contract_id").alias("__c"), filled("hash_keys", "fields").alias("__hashed"), filled("primary_keys", "business_keys").alias("__key"))
+    rows = rows.join(broadcast_if_small(specs), F.col("contract_id") == F.col("__c"), "left")
+    of = lambda spec, name: F.when(F.array_contains(spec, name), F.col(name))
     # A column that isn't part of a contract's key isn't shown as one either.
-    rows = rows.withColumns({"key_order_id": of_contract("order_id", keyed).cast("bigint"), "key_line_no": of_contract("line_no", keyed).cast("bigint")})
+    rows = rows.withColumns({"key_order_id": of("__key", "order_id").cast("bigint"), "key_line_no": of("__key", "line_no").cast("bigint")})
     key = [F.col("key_order_id"), F.col("key_line_no")]
-    compared = row_hash64([of_contract(c, by_spec) for c in _VALUES], "values")
+    compared = row_hash64([of("__hashed", c) for c in _VALUES], "values")
     first = [F.col("row_number_in_file"), F.col("delivery_no"), F.col("snapshot_at")]
     return snapshots.snapshot_changes(rows, "contract_id", "snapshot_no", key, compared, first, ["key_order_id", "key_line_no"])
 
@@ -200,28 +188,67 @@ def p5_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 # 6: schemas that drift between files
 
 
+def _ingested(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(contracts, their fields by version, landed lines as ingested and stored)."""
+    contracts = table(spark, d, "contracts")
+    fields = drift.schema_fields(contracts)
+    return contracts, fields, drift.stored_ingest(table(spark, d, "landed_rows"), contracts, fields=fields)
+
+
+def _beyond(ingested: DataFrame) -> DataFrame:
+    return drift.undeclared_fields(ingested).select("contract_id", F.col("file_version").alias("version"), "file_id", F.lit("undeclared").alias("change"), "field", F.lit("").alias("old_field"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    contracts, landed = table(spark, d, "contracts"), table(spark, d, "landed_rows")
-    declared = drift.schema_changes(contracts, landed).select("contract_id", "version", F.lit(0).cast("bigint").alias("file_id"), "change", "field", "old_field")
-    beyond = drift.undeclared_fields(drift.rescue_ingest(landed, contracts)).select("contract_id", F.col("file_version").alias("version"), "file_id", F.lit("undeclared").alias("change"), "field", F.lit("").alias("old_field"))
-    return declared.unionByName(beyond)
+    contracts, fields, ingested = _ingested(spark, d)
+    declared = drift.schema_changes(contracts, ingested=ingested, fields=fields).select("contract_id", "version", F.lit(0).cast("bigint").alias("file_id"), "change", "field", "old_field")
+    return declared.unionByName(_beyond(ingested))
+
+
+def p6_undeclared(spark: SparkSession, d: str) -> DataFrame:
+    """The fields that files hold beyond their version, by themselves."""
+    return _beyond(_ingested(spark, d)[2])
+
+
+def _consistent(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(consistent rows, kinds of the current fields): rescued values replayed, names current."""
+    contracts, fields, ingested = _ingested(spark, d)
+    names = drift.current_names(drift.schema_changes(contracts, ingested=ingested, fields=fields), contracts, fields)
+    promoted = drift.promote(ingested, drift.current_kinds(fields, names))
+    last = fields.groupBy("contract_id").agg(F.max("step").alias("step"))
+    return drift.consistent_rows(promoted, names), fields.join(last, ["contract_id", "step"]).select("contract_id", "field", "kind")
 
 
 def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
     """Every landed line in its contract's one table: typed members under current names."""
-    contracts, landed = table(spark, d, "contracts"), table(spark, d, "landed_rows")
-    changes = drift.schema_changes(contracts, landed)
-    rows = drift.consistent_rows(drift.rescue_ingest(landed, contracts), drift.current_names(changes, contracts))
+    rows, _ = _consistent(spark, d)
     return rows.select("contract_id", "file_id", "line_in_file", "file_version", "well_formed", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("row")))).alias("row_json"), "rescued")
 
 
+def p6_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table of every contract: per column its lines and its values."""
+    rows, kinds = _consistent(spark, d)
+    path = shared_dir(spark, "consistent")
+    rows.write.parquet(path)
+    rows, out = spark.read.parquet(path), None
+    by_contract: dict[str, dict[str, str]] = {}
+    for k in kinds.orderBy("contract_id", "field").toLocalIterator():
+        by_contract.setdefault(k["contract_id"], {})[k["field"]] = k["kind"]
+    for contract_id, columns in by_contract.items():
+        t = drift.contract_table(rows, contract_id, columns)
+        n = t.agg(F.count("*").alias("n_lines"), *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)])
+        one = n.select(F.lit(contract_id).alias("contract_id"), "n_lines", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.lit(k).alias("kind"), F.col(f"n{i}").alias("n_values")) for i, (c, k) in enumerate(columns.items())])).alias("x")).select("contract_id", "x.*", "n_lines").where("n_lines > 0")
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], "contract_id string, field string, kind string, n_values long, n_lines long") if out is None else out
+
+
 def p6_rescued_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per contract: lines, lines that aren't JSON objects, lines with rescued members."""
-    i = drift.rescue_ingest(table(spark, d, "landed_rows"), table(spark, d, "contracts"))
+    i = _ingested(spark, d)[2]
     return i.groupBy("contract_id").agg(F.count("*").alias("n_lines"), F.count_if(~F.col("well_formed")).alias("n_malformed"), F.count_if(F.size("undeclared") > 0).alias("n_undeclared"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_counts, p3_found, p3_first_copies, p3_accepted, p4_found, p4_counts, p4_recomputed, p5_found, p5_replaced, p5_marks, p5_fingerprints, p6_found, p6_consistent, p6_rescued_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_counts, p3_found, p3_first_copies, p3_accepted, p4_found, p4_counts, p4_recomputed, p5_found, p5_replaced, p5_marks, p5_fingerprints, p6_found, p6_undeclared, p6_consistent, p6_tables, p6_rescued_counts)}
 
 _LSN = "(cast(('0x' || split_part(trim({0}), '/', 1)) as bigint) * 4294967296 + cast(('0x' || split_part(trim({0}), '/', 2)) as bigint))"
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.contract.model import Contract
 from tidemark.functions import canonical, lsn
 from tidemark.operators import delta, hash_diff, validate
+from tidemark.operators.redelivery import first_copies
 from tidemark.operators.pipelines import typed_delta
 from tidemark.plans.change_queries import table
 from tidemark.sources import pgoutput
@@ -89,10 +90,16 @@ def delete_missing_null_safe(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name")
 
 
+def older_customers(c: DataFrame) -> DataFrame:
+    """The customers as they once were: fewer, others, and some in another segment."""
+    was = c.where("c_custkey % 10 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, F.lit("NONE")).otherwise(F.col("c_mktsegment")))
+    return was.unionByName(c.where("c_custkey % 5 = 1").withColumn("c_custkey", -F.col("c_custkey")))
+
+
 def merge_snapshot_state(spark: SparkSession, d: str) -> DataFrame:
     """The customer table after merging today's snapshot over an older state."""
     c = table(spark, d, "customer").select(*CUSTOMER.fields)
-    old = c.where("c_custkey % 10 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, F.lit("NONE")).otherwise(F.col("c_mktsegment"))).unionByName(c.where("c_custkey % 5 = 1").withColumn("c_custkey", -F.col("c_custkey")))
+    old = older_customers(c)
     state = old.withColumn("row_hash", canonical.row_hash(old, list(CUSTOMER.hash_keys)))
     now = c.withColumn("row_hash", canonical.row_hash(c, list(CUSTOMER.hash_keys)))
     return hash_diff.merged(hash_diff.classify(now, state, ["c_custkey"]), old, ["c_custkey"])
@@ -108,13 +115,13 @@ def changed_columns(spark: SparkSession, d: str) -> DataFrame:
 
 # Validation
 
-_TIGHT = Contract(
+TIGHT = Contract(
     "sales.orders", "2", ORDERS.fields, ORDERS.field_types, ("o_orderkey",), ("o_orderkey",),
     schema_json={"type": "object", "properties": {"o_orderkey": {"type": "integer"}, "o_orderstatus": {"type": "string", "enum": ["F", "O"]}, "o_totalprice": {"type": "number", "minimum": 1000, "exclusiveMaximum": 300000}, "o_orderpriority": {"type": "string", "const": "1-URGENT"}}},
 )
 
 
-def _dirty_orders(spark: SparkSession, d: str) -> DataFrame:
+def dirty_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders whose keys are null for every 97th and whose customers are text for every 89th."""
     return table(spark, d, "orders").select(
         F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderkey")).alias("o_orderkey"), F.when(F.col("o_orderkey") % 89 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("o_custkey"),
@@ -123,18 +130,18 @@ def _dirty_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validate_orders_errors(spark: SparkSession, d: str) -> DataFrame:
-    return _codes(validate.validated_rows(_dirty_orders(spark, d), _TIGHT), ["id"])
+    return _codes(validate.validated_rows(dirty_orders(spark, d), TIGHT), ["id"])
 
 
 def snapshot_accept_gate(spark: SparkSession, d: str) -> DataFrame:
-    v = validate.validated_rows(_dirty_orders(spark, d), _TIGHT)
+    v = validate.validated_rows(dirty_orders(spark, d), TIGHT)
     bad = F.size("errors") > 0
     return v.agg(F.count("*").alias("source_row_count"), F.count_if(~bad).alias("valid_row_count"), F.count_if(bad).alias("invalid_row_count"), (F.count_if(bad) == 0).alias("accepted"))
 
 
 def error_preview_top5(spark: SparkSession, d: str) -> DataFrame:
     """The first five errors by key (the preview is the feature)."""
-    v = validate.error_rows(validate.validated_rows(_dirty_orders(spark, d), _TIGHT), ["id"])
+    v = validate.error_rows(validate.validated_rows(dirty_orders(spark, d), TIGHT), ["id"])
     return v.orderBy("id", "error_index").limit(5).select("id", "field", "code")
 
 
@@ -175,9 +182,9 @@ def validate_events_props(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validate_embeddings_items(spark: SparkSession, d: str) -> DataFrame:
-    """Array lengths, and elements by index."""
-    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, (F.col("vec_id") % 4).cast("int") + 1).alias("v"))
-    c = Contract("vectors", "1", ("vec_id", "v"), {"vec_id": "integer", "v": "array"}, primary_keys=("vec_id",), schema_json={"type": "object", "properties": {"v": {"type": "array", "minItems": 2, "maxItems": 3, "items": {"type": "number", "maximum": 0.05}}}})
+    """Array lengths, and every element of whole vectors by index."""
+    e = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 4 == 0, F.concat("embedding", F.slice("embedding", 1, 1))).when(F.col("vec_id") % 4 == 1, F.slice("embedding", 1, F.size("embedding") - 1)).otherwise(F.col("embedding")).alias("v"))
+    c = Contract("vectors", "1", ("vec_id", "v"), {"vec_id": "integer", "v": "array"}, primary_keys=("vec_id",), schema_json={"type": "object", "properties": {"v": {"type": "array", "minItems": 64, "maxItems": 64, "items": {"type": "number", "maximum": 0.3}}}})
     return _codes(validate.validated_rows(e, c), ["vec_id"])
 
 
@@ -191,11 +198,14 @@ def validate_lines_keys(spark: SparkSession, d: str) -> DataFrame:
 
 # Audit events
 
-_AUDITED = Contract(
-    "sales.orders_audit", "1", ("order_id", "customer_id", "amount", "status", "updated_at"),
-    {"order_id": "integer", "customer_id": "integer", "amount": "decimal", "status": "string", "updated_at": "timestamp"},
-    required_fields=("order_id",), primary_keys=("order_id",), hash_keys=("customer_id", "status"),
-)
+#: Key fields and party of each audited table.
+AUDITED = {"public.orders": (("order_id",), "customer_id"), "public.order_lines": (("order_id", "line_no"), "customer_id"), "public.accounts": (("account_id",), "owner_id"), "public.price_list": (("price_id",), "vendor_no")}
+
+
+def audited_contract(name: str) -> Contract:
+    keys, party = AUDITED[name]
+    types = {k: "integer" for k in (*keys, party)} | {"amount": "decimal", "status": "string", "updated_at": "timestamp"}
+    return Contract(f"audit of {name}", "1", tuple(types), types, keys, keys, hash_keys=(party, "status"))
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -214,29 +224,36 @@ def audit_window_scan(spark: SparkSession, d: str) -> DataFrame:
     return delta.window(a, ("event_ts", "event_id"), (start, F.lit(0)), (end, F.lit(10**12))).select("event_id", "op").distinct()
 
 
-def _orders_log(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "audit_log").where("source_table = 'public.orders'")
-    from tidemark.operators.redelivery import first_copies
+def _normalized_audit(spark: SparkSession, d: str) -> list[tuple[str, Contract, DataFrame]]:
+    """The audit log by table, each event once, normalised under the table's contract."""
+    a = table(spark, d, "audit_log").select("source_table", "audit_event_id", "op", "recorded_at", "ordering_ts", "key_json", "row_before", "row_after", "extracted_at")
+    once = first_copies(a, ["audit_event_id"], [F.col("extracted_at")]).withColumns({"event_id": F.col("audit_event_id"), "event_ts": F.coalesce("ordering_ts", "recorded_at")})
+    old = delta.audit_old_key(F.col("row_before"), F.col("key_json"))
+    return [(n, audited_contract(n), delta.normalize_events(once.where(F.col("source_table") == n), audited_contract(n), delta.AUDIT, old_key=old)) for n in AUDITED]
 
-    once = first_copies(a.select("audit_event_id", "op", "recorded_at", "ordering_ts", "key_json", "row_before", "row_after", "extracted_at"), ["audit_event_id"], [F.col("extracted_at")])
-    return once.withColumns({"event_id": F.col("audit_event_id"), "event_ts": F.coalesce("ordering_ts", "recorded_at")})
 
+def _by_table(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
-def _normalized_audit(spark: SparkSession, d: str) -> DataFrame:
-    return delta.normalize_events(_orders_log(spark, d), _AUDITED, delta.AUDIT, old_key=delta.audit_old_key(F.col("row_before"), F.col("key_json")))
+
+def key_text(c: Contract, prefix: str = "") -> Column:
+    return F.concat_ws("/", *[F.col(f"{prefix}{k}").cast("string") for k in c.key_fields])
 
 
 def audit_normalize_events(spark: SparkSession, d: str) -> DataFrame:
-    """Upserts and deletes made of the audit log of orders."""
-    return delta.delta_events(_normalized_audit(spark, d), delta.AUDIT).select("event_id", "op", F.col("key.order_id").alias("order_id"), "row_hash")
+    """Upserts and deletes made of the audit log of all tables."""
+    return _by_table([delta.delta_events(n, delta.AUDIT).select(F.lit(name).alias("source_table"), "event_id", "op", key_text(c, "key.").alias("key"), "row_hash") for name, c, n in _normalized_audit(spark, d)])
 
 
 def audit_quarantine_counts(spark: SparkSession, d: str) -> DataFrame:
-    return delta.extract_counts(_normalized_audit(spark, d))
+    return _by_table([delta.extract_counts(n).withColumn("source_table", F.lit(name)) for name, _, n in _normalized_audit(spark, d)])
 
 
 def audit_event_errors(spark: SparkSession, d: str) -> DataFrame:
-    return delta.event_errors(_normalized_audit(spark, d), ["event_id", "op"]).select("event_id", "op", "field", "code", "event_role")
+    return _by_table([delta.event_errors(n, ["event_id", "op"]).select(F.lit(name).alias("source_table"), "event_id", "op", "field", "code", "event_role") for name, _, n in _normalized_audit(spark, d)])
 
 
 def delta_latest_effective(spark: SparkSession, d: str) -> DataFrame:
@@ -265,12 +282,16 @@ def delta_apply_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delta_artifact_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The delta artifacts of orders as typed rows, hashes completed where absent."""
-    raw = table(spark, d, "audit_delta").where("source_table = 'public.orders'")
+    """The delta artifacts as typed rows: hashes as supplied, completed where absent."""
     text = lambda names: "struct<" + ",".join(f"{n}:string" for n in names) + ">"
-    op = F.upper(F.trim("op"))
-    shaped = raw.select("event_id", "event_ts", F.when(op.isin("D", "DELETE"), "DELETE").otherwise("UPSERT").alias("op"), F.from_json("key_json", text(_AUDITED.key_fields)).alias("key"), F.from_json("row_json", text(_AUDITED.fields)).alias("row"), F.lit(None).cast("string").alias("row_hash"))
-    return typed_delta(shaped, _AUDITED, delta.AUDIT).select("event_id", "op", "order_id", F.col("customer_id").cast("string").alias("customer_id"), "status", "row_hash").distinct()
+    op, out = F.upper(F.trim("op")), []
+    for name in ("public.orders", "public.order_lines"):
+        c = audited_contract(name)
+        raw = table(spark, d, "audit_delta").where(F.col("source_table") == name)
+        shaped = raw.select("event_id", "event_ts", F.when(op.isin("D", "DELETE"), "DELETE").otherwise("UPSERT").alias("op"), F.from_json("key_json", text(c.key_fields)).alias("key"), F.from_json("row_json", text(c.fields)).alias("row"), "row_hash")
+        typed = typed_delta(shaped, c, delta.AUDIT)
+        out.append(typed.select(F.lit(name).alias("source_table"), "event_id", "op", key_text(c).alias("key"), F.col("customer_id").cast("string").alias("customer_id"), "status", "row_hash").distinct())
+    return _by_table(out)
 
 
 # Change capture
@@ -284,9 +305,10 @@ def cdc_txn_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cdc_latest_by_lsn(spark: SparkSession, d: str) -> DataFrame:
-    c = delta.with_lsn(table(spark, d, "cdc_delta")).where("source_table = 'public.shipments'")
-    c = c.withColumn("shipment_id", F.trim(F.get_json_object("key_json", "$.shipment_id")).try_cast("bigint"))
-    return delta.latest_effective(c, ["shipment_id"], ["__lsn", "change_index"]).select("shipment_id", "op", F.col("__lsn").alias("lsn"), "change_index")
+    c = delta.with_lsn(table(spark, d, "cdc_delta"))
+    part = lambda n: F.trim(F.get_json_object("key_json", f"$.{n}")).try_cast("bigint")
+    c = c.withColumns({"shipment_id": part("shipment_id"), "line_no": F.coalesce(part("line_no"), F.lit(0))})
+    return delta.latest_effective(c, ["source_table", "shipment_id", "line_no"], ["__lsn", "change_index"]).select("source_table", "shipment_id", "line_no", "op", F.col("__lsn").alias("lsn"), "change_index")
 
 
 def lsn_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -389,24 +411,28 @@ with e as (
 )
 """
 
-_AUDIT_ONCE = """
+AUDIT_ONCE = """
 with a as (
-  select *, coalesce(ordering_ts, recorded_at) as event_ts from audit_log where source_table = 'public.orders'
-  qualify row_number() over (partition by audit_event_id order by extracted_at) = 1
-), b as (
-  select audit_event_id as event_id, op, row_after, try_cast(json_extract_string(row_after, '$.order_id') as bigint) as new_id, json_extract_string(row_after, '$.customer_id') as customer_id, json_extract_string(row_after, '$.status') as status,
-    try_cast(json_extract_string(coalesce(row_before, key_json), '$.order_id') as bigint) as old_id,
-    json_exists(coalesce(row_before, key_json), '$.order_id') as has_old, json_exists(row_after, '$.order_id') as has_new
-  from a
-), judged as (
-  select *,
-    case when op in ('D', 'U') and not has_old then 'missing_field' when op in ('D', 'U') and old_id is null then 'null_key' end as key_code,
-    case when op in ('I', 'U') and row_after is null then 'missing_row_after' when op in ('I', 'U') and not has_new then 'missing_field' when op in ('I', 'U') and new_id is null then 'required_field' end as row_code
-  from b
-), good as (select *, sha256(concat_ws('|', coalesce(customer_id, '<NULL>'), coalesce(status, '<NULL>'))) as h from judged where key_code is null and row_code is null),
-made as (
-  select event_id, 'UPSERT' as op, new_id as order_id, h as row_hash from good where op in ('I', 'U')
-  union all select event_id, 'DELETE', old_id, null from good where op = 'D' or (op = 'U' and old_id <> new_id)
+  select *, coalesce(ordering_ts, recorded_at) as event_ts, coalesce(row_before, key_json) as old,
+    case source_table when 'public.accounts' then ['account_id'] when 'public.price_list' then ['price_id'] when 'public.order_lines' then ['order_id', 'line_no'] else ['order_id'] end as fields
+  from audit_log qualify row_number() over (partition by audit_event_id order by extracted_at) = 1
+), f as (select *, unnest(fields) as field from a),
+e as (
+  select source_table, audit_event_id as event_id, op, field, case when not coalesce(json_exists(old, '$.' || field), false) then 'missing_field' when json_extract_string(old, '$.' || field) is null then 'null_key' end as code, 'DELETE' as event_role
+  from f where op in ('D', 'U')
+  union all
+  select source_table, audit_event_id, op, field, case when not json_exists(row_after, '$.' || field) then 'missing_field' when json_extract_string(row_after, '$.' || field) is null then 'required_field' end, 'UPSERT'
+  from f where op in ('I', 'U') and row_after is not null
+  union all
+  select source_table, audit_event_id, op, '$', 'missing_row_after', 'UPSERT' from a where op in ('I', 'U') and row_after is null
+), errors as (select * from e where code is not null),
+good as (
+  select *, list_aggregate(list_transform(fields, lambda x: json_extract_string(row_after, '$.' || x)), 'string_agg', '/') as new_key, list_aggregate(list_transform(fields, lambda x: json_extract_string(old, '$.' || x)), 'string_agg', '/') as old_key,
+    json_extract_string(row_after, '$.status') as s, coalesce(json_extract_string(row_after, '$.customer_id'), json_extract_string(row_after, '$.owner_id'), json_extract_string(row_after, '$.vendor_no')) as party
+  from a where audit_event_id not in (select event_id from errors)
+), made as (
+  select source_table, audit_event_id as event_id, event_ts, 'UPSERT' as op, new_key as key, sha256(concat_ws('|', coalesce(party, '<NULL>'), coalesce(s, '<NULL>'))) as row_hash, s as status from good where op in ('I', 'U')
+  union all select source_table, audit_event_id, event_ts, 'DELETE', old_key, null, null from good where op = 'D' or (op = 'U' and old_key <> new_key)
 )
 """
 
@@ -432,7 +458,13 @@ ORACLE = {
     "hash_diff_unchanged_rerun": "select 0::bigint as insert_count, 0::bigint as update_count, count(*) as unchanged_count, 0::bigint as delete_count from orders",
     "delete_missing_null_safe": """with c as (select case when c_custkey % 13 <> 0 then c_custkey end as c_custkey, c_name from customer)
         select cast(c_custkey as varchar) as c_custkey, c_name from c t where exists (select 1 from c s where (s.c_custkey is null or s.c_custkey % 3 <> 0) and s.c_custkey is not distinct from t.c_custkey)""",
-    "merge_snapshot_state": "select c_custkey, c_name, c_nationkey, c_mktsegment from customer",
+    "merge_snapshot_state": """
+        with old as (
+          select c_custkey, c_name, c_nationkey, case when c_custkey % 7 = 0 then 'NONE' else c_mktsegment end as c_mktsegment from customer where c_custkey % 10 <> 0
+          union all select -c_custkey, c_name, c_nationkey, c_mktsegment from customer where c_custkey % 5 = 1
+        ), hashed as (select c.*, o.c_custkey is not null as stored, sha256(concat_ws('|', c.c_name, c.c_nationkey, c.c_mktsegment)) = sha256(concat_ws('|', o.c_name, o.c_nationkey, o.c_mktsegment)) as same from customer c left join old o using (c_custkey))
+        select c_custkey, c_name, c_nationkey, c_mktsegment from hashed where not stored or not same
+        union all select c_custkey, c_name, c_nationkey, c_mktsegment from old where c_custkey in (select c_custkey from hashed where stored and same)""",
     "changed_columns": "select c_custkey, concat_ws(',', case when c_custkey % 5 = 0 and c_mktsegment is not null then 'c_mktsegment' end, case when c_custkey % 7 = 0 and c_nationkey is not null then 'c_nationkey' end) as changed from customer",
     "validate_orders_errors": _DIRTY + "select id, field, code from f",
     "snapshot_accept_gate": _DIRTY + """, n as (select count(distinct id) as bad from f), o as (select count(*) as total from orders)
@@ -458,10 +490,10 @@ ORACLE = {
         union all select event_id, 'body.inner.extra', 'schema.additional_properties' from events where event_id % 3 <> 0 and event_id % 5 = 0
         union all select event_id, 'body.inner.n', 'schema.minimum' from events where event_id % 3 <> 0 and event_id < 10""",
     "validate_embeddings_items": """
-        with e as (select vec_id, embedding[1:(vec_id % 4)::int + 1] as v from embeddings)
-        select vec_id, 'v' as field, 'schema.min_items' as code from e where len(v) < 2
-        union all select vec_id, 'v', 'schema.max_items' from e where len(v) > 3
-        union all select vec_id, 'v[' || (i - 1) || ']', 'schema.maximum' from (select vec_id, v, unnest(range(1, len(v) + 1)) as i from e) where v[i]::double > 0.05""",
+        with e as (select vec_id, case vec_id % 4 when 0 then embedding || embedding[1:1] when 1 then embedding[1:len(embedding) - 1] else embedding end as v from embeddings)
+        select vec_id, 'v' as field, 'schema.min_items' as code from e where len(v) < 64
+        union all select vec_id, 'v', 'schema.max_items' from e where len(v) > 64
+        union all select vec_id, 'v[' || (i - 1) || ']', 'schema.maximum' from (select vec_id, v, unnest(range(1, len(v) + 1)) as i from e) where v[i]::double > 0.3""",
     "validate_lines_keys": """
         with k as (select distinct audit_event_id, key_json from audit_log where source_table = 'public.order_lines'),
         p as (select audit_event_id, key_json, unnest(['order_id', 'line_no']) as field from k)
@@ -472,24 +504,26 @@ ORACLE = {
         with p as (select audit_event_id as event_id, op, coalesce(ordering_ts, recorded_at) as ts from audit_log)
         select distinct event_id, op from p where (ts > timestamp '2025-03-05 00:00:00' or (ts = timestamp '2025-03-05 00:00:00' and event_id > 0))
         and (ts < timestamp '2025-03-20 12:00:00' or (ts = timestamp '2025-03-20 12:00:00' and event_id <= 1000000000000))""",
-    "audit_normalize_events": _AUDIT_ONCE + "select * from made",
-    "audit_quarantine_counts": _AUDIT_ONCE + """select (select count(*) from judged) as source_event_count, count(*) as normalized_event_count, count(*) filter (op = 'UPSERT') as upsert_event_count,
-        count(*) filter (op = 'DELETE') as delete_event_count, (select count(*) from judged where key_code is not null or row_code is not null) as invalid_event_count from made""",
-    "audit_event_errors": _AUDIT_ONCE + """select event_id, op, 'order_id' as field, key_code as code, 'DELETE' as event_role from judged where key_code is not null
-        union all select event_id, op, case when row_code = 'missing_row_after' then '$' else 'order_id' end, row_code, 'UPSERT' from judged where row_code is not null""",
+    "audit_normalize_events": AUDIT_ONCE + "select source_table, event_id, op, key, row_hash from made",
+    "audit_quarantine_counts": AUDIT_ONCE + """, n as (select source_table, count(*) as n from a group by 1), x as (select source_table, count(distinct event_id) as x from errors group by 1),
+        m as (select source_table, count(*) as c, count(*) filter (op = 'UPSERT') as u, count(*) filter (op = 'DELETE') as d from made group by 1)
+        select source_table, n as source_event_count, c as normalized_event_count, u as upsert_event_count, d as delete_event_count, coalesce(x, 0) as invalid_event_count from n join m using (source_table) left join x using (source_table)""",
+    "audit_event_errors": AUDIT_ONCE + "select source_table, event_id, op, field, code, event_role from errors",
     "delta_latest_effective": _USERS + "select user_id, op, event_id from latest",
     "delta_apply_counts": _USERS + """select count(*) as effective_event_count, count(*) filter (change_type = 'INSERT') as insert_count, count(*) filter (change_type = 'UPDATE') as update_count,
         count(*) filter (change_type = 'DELETE') as delete_count, count(*) filter (change_type = 'UNCHANGED') as unchanged_count from c""",
     "delta_apply_state": _USERS + """select user_id, event_type from t where user_id not in (select user_id from c)
         union all select user_id, event_type from c where change_type in ('INSERT', 'UPDATE', 'UNCHANGED')""",
     "delta_artifact_rows": """
-        with r as (select event_id, case when upper(trim(op)) in ('D', 'DELETE') then 'DELETE' else 'UPSERT' end as op, key_json, row_json from audit_delta where source_table = 'public.orders')
-        select distinct event_id, op, coalesce(case when op = 'UPSERT' then try_cast(json_extract_string(row_json, '$.order_id') as bigint) end, try_cast(json_extract_string(key_json, '$.order_id') as bigint)) as order_id,
+        with r as (select source_table, event_id, case when upper(trim(op)) in ('D', 'DELETE') then 'DELETE' else 'UPSERT' end as op, key_json, row_json, lower(nullif(trim(row_hash), '')) as given from audit_delta where source_table in ('public.orders', 'public.order_lines')),
+        k as (select *, case when op = 'UPSERT' then coalesce(row_json, key_json) else key_json end as from_json from r)
+        select distinct source_table, event_id, op, concat_ws('/', json_extract_string(from_json, '$.order_id'), json_extract_string(from_json, '$.line_no')) as key,
           case when op = 'UPSERT' then cast(try_cast(json_extract_string(row_json, '$.customer_id') as bigint) as varchar) end as customer_id, case when op = 'UPSERT' then json_extract_string(row_json, '$.status') end as status,
-          case when op = 'UPSERT' then sha256(concat_ws('|', coalesce(json_extract_string(row_json, '$.customer_id'), '<NULL>'), coalesce(json_extract_string(row_json, '$.status'), '<NULL>'))) end as row_hash from r""",
+          case when op = 'UPSERT' then coalesce(given, sha256(concat_ws('|', coalesce(json_extract_string(row_json, '$.customer_id'), '<NULL>'), coalesce(json_extract_string(row_json, '$.status'), '<NULL>')))) end as row_hash from k""",
     "cdc_txn_quarantine": "select event_id // 5 as txn, count(*) as n_events, count(*) filter (event_type = 'error') as n_invalid, count(*) filter (event_type = 'error') > 0 as quarantined from events group by 1",
-    "cdc_latest_by_lsn": f"""select try_cast(json_extract_string(key_json, '$.shipment_id') as bigint) as shipment_id, op, {_LSN.format('commit_lsn')} as lsn, change_index from cdc_delta
-        where source_table = 'public.shipments' qualify row_number() over (partition by try_cast(json_extract_string(key_json, '$.shipment_id') as bigint) order by {_LSN.format('commit_lsn')} desc, change_index desc, op desc) = 1""",
+    "cdc_latest_by_lsn": f"""
+        with k as (select source_table, try_cast(json_extract_string(key_json, '$.shipment_id') as bigint) as shipment_id, coalesce(try_cast(json_extract_string(key_json, '$.line_no') as bigint), 0) as line_no, op, {_LSN.format('commit_lsn')} as lsn, change_index from cdc_delta)
+        select * from k qualify row_number() over (partition by source_table, shipment_id, line_no order by lsn desc, change_index desc, op desc) = 1""",
     "lsn_roundtrip": f"""select commit_lsn, n as as_int, upper(format('{{:x}}/{{:x}}', n >> 32, n & 4294967295)) as as_text from (select distinct commit_lsn, {_LSN.format('commit_lsn')} as n from cdc_delta)""",
     "max_position": f"""with p as (select source_table, {_LSN.format('commit_lsn')} as lsn, change_index, {_LSN.format('end_lsn')} as e from cdc_delta)
         select source_table, arg_max(lsn, (lsn, change_index)) as lsn, arg_max(change_index, (lsn, change_index)) as change_index, max(e) as end_lsn from p group by 1""",
