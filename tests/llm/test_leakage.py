@@ -1,6 +1,5 @@
 import random
 
-from tidemark.llm import leakage
 from tidemark.llm.leakage import LeakIndex, leak_report, leaked_items, words
 
 VOCABULARY = [f"w{i}" for i in range(60)]
@@ -61,12 +60,11 @@ def test_every_run_is_found_and_nothing_else(spark):
     assert pairs(leaked_items(docs(spark, documents), items(spark, tests))) == want
 
 
-def test_several_indexes_give_the_same(spark, monkeypatch):
+def test_several_indexes_give_the_same(spark):
     rng = random.Random(4)
     tests = [(i, text(rng, 60)) for i in range(30)]
     documents = [(d, tests[d % 30][1]) for d in range(60)]
-    monkeypatch.setattr(leakage, "SHARD_ITEMS", 7)
-    assert pairs(leaked_items(docs(spark, documents), items(spark, tests))) == brute(documents, tests)
+    assert pairs(leaked_items(docs(spark, documents), items(spark, tests), index_chars=1000)) == brute(documents, tests)
 
 
 def test_retrieval_prunes_but_keeps_every_holder():
@@ -86,3 +84,17 @@ def test_empty_tables_and_report(spark):
         assert leaked_items(d, i).count() == 0
     report = leak_report(leaked_items(some_d, some_i), some_i)
     assert {r["item_id"]: r["n_documents"] for r in report.collect()} == {1: 1, 2: 0}
+
+
+def test_thousands_of_items_in_one_index():
+    rng = random.Random(11)
+    tests = [(i, text(rng, 60, [f"t{i % 97}_{k}" for k in range(30)] + VOCABULARY)) for i in range(3000)]
+    index = LeakIndex.build(tests)
+    assert index.n_blocks == 188 and len(index.item) < 3000 * 60
+    picked = rng.sample(tests, 40)
+    documents = [(k, text(rng, 10) + " " + " ".join(t.split()[5:45]) + " zz " + text(rng, 50)) for k, (_, t) in enumerate(picked)]
+    got = set()
+    for d, t in documents:
+        w = index.passages(t)
+        got |= {(i, d) for i in index.find(w)[1].tolist()}
+    assert got == brute(documents, tests) and len(got) >= 40

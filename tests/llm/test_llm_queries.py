@@ -1,5 +1,6 @@
 """The registered queries on the smallest tables: columns, and brute force where it is quick."""
 
+import duckdb
 import pytest
 
 from tidemark.llm import leakage, queries
@@ -15,6 +16,18 @@ def test_query_runs(spark, sf_dir, name):
         assert ", ".join(f"{n} {t}" for n, t in got.dtypes) == FOUND[name]
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_against_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "eval_items", "mix_targets"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf_dir).toPandas(), con.sql(queries.ORACLE[name]).df()
+    names = sorted(want.columns)
+    assert names == sorted(got.columns)
+    plain = lambda df: sorted(map(repr, df[names].astype(object).where(df[names].notna(), None).itertuples(index=False, name=None)))
+    assert plain(got) == plain(want)
+
+
 def test_leaks_against_brute_force(spark, sf_dir):
     runs, want, n = {}, set(), leakage.MIN_WORDS
     for r in spark.read.parquet(f"{sf_dir}/eval_items.parquet").collect():

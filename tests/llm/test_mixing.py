@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import mixing
 from tidemark.llm.mixing import fill_to_shares, mix, splitting_tree, write_mix
 from tidemark.llm.tokens import PATTERN, TOKENIZERS, encoding, with_token_counts
 from tidemark.session import shared_dir
@@ -85,3 +86,29 @@ def test_token_counts_are_of_whole_texts(spark):
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
     assert all(enc.decode(enc.encode_ordinary(t)) == t for t in texts if t)
     assert PATTERN and TOKENIZERS
+
+
+def test_many_passes_stay_numbers_and_shards_share_them(spark):
+    d = docs(spark, many(6, "a", 0, 1))
+    total = sum(r["n_tokens"] for r in with_token_counts(d, "text", ["doc_id"]).collect()) * 400
+    drawn, shares = mix(d, spark.createDataFrame([("m", "a", 1.0, None, total + 5)], TARGETS), shards=5)
+    rows = drawn.collect()
+    copies = Counter((r["doc_id"], r["repeat"]) for r in rows)
+    assert max(copies.values()) == 1 and 2400 <= len(rows) <= 2401
+    by_shard = Counter(r["shard"] for r in rows)
+    assert set(by_shard) == set(range(5)) and max(by_shard.values()) - min(by_shard.values()) <= 4 and shares.first()["most_repeats"] in (400, 401)
+
+
+def test_quota_that_ends_within_a_part(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 2)
+    d = docs(spark, many(200, "a", 0, 5))
+    for total in (40, 777, 2000):
+        drawn, _ = mix(d, spark.createDataFrame([("m", "a", 1.0, 1, total)], TARGETS), shards=3)
+        got = drawn.agg(F.sum("n_tokens"), F.max("n_tokens")).first()
+        longest = max(r["n_tokens"] for r in with_token_counts(d, "text", ["doc_id"]).collect())
+        assert total - longest <= got[0] <= total
+
+
+def test_trees_of_more_blocks_than_can_be_drawn(monkeypatch):
+    leaves = splitting_tree({"a": 3 * 10**12 + 5, "b": 7}, 7, np.random.default_rng(1))
+    assert sum(x["a"] for x in leaves) == 3 * 10**12 + 5 and sum(x["b"] for x in leaves) == 7

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 MIN_WORDS = 30
 K1, B = 1.2, 0.75
-#: Items per index and characters of item text per index: what one broadcast holds.
-SHARD_ITEMS, SHARD_CHARS = 256, 4_000_000
+#: Characters of test items in one index, which is broadcast: some ten bytes for each.
+INDEX_CHARS = 16_000_000
 BLOCK = 16
 WINDOWS_AT_ONCE = 4096
 
@@ -59,18 +59,34 @@ def _run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, position) of every element of many ranges."""
+    owner = np.repeat(np.arange(len(start)), count)
+    ends = np.cumsum(count)
+    return owner, np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(start, count)
+
+
 @dataclass
 class LeakIndex:
-    """Postings with their maxima per term and per block of items, for one shard."""
+    """Postings by term and block of items, with the maxima of both.
+
+    Items are numbered in blocks of BLOCK.  ``cells`` are the pairs of a term and a block
+    that have postings, in order: ``term * n_blocks + block``.
+    """
 
-    item_ids: np.ndarray  # of each column
+    item_ids: np.ndarray  # of each item number
     vocabulary: dict[bytes, int]
-    weights: np.ndarray  # terms + 1 x items; the last row is of no term
-    block_max: np.ndarray  # terms + 1 x blocks
-    term_max: np.ndarray  # terms + 1
+    n_blocks: int
+    cells: np.ndarray  # sorted; one more at the end that no term has
+    cell_start: np.ndarray  # where each cell's postings begin, and their end
+    cell_max: np.ndarray
+    item: np.ndarray  # postings: item number
+    weight: np.ndarray  # and weight
+    term_max: np.ndarray  # terms + 1; the last is of no term
+    words: np.ndarray  # the items' words, one item after the other
     run_hash: np.ndarray  # sorted hashes of all runs of min_words
-    run_item: np.ndarray  # column of each
-    run_ids: np.ndarray  # the runs themselves
+    run_at: np.ndarray  # where in words each begins
+    run_item: np.ndarray
     min_words: int
 
     @classmethod
@@ -80,31 +96,38 @@ class LeakIndex:
         if not texts:
             return None
         vocabulary: dict[bytes, int] = {}
-        seqs = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int64) for _, w in texts]
+        seqs = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int32) for _, w in texts]
         n, v = len(seqs), len(vocabulary)
-        tf = np.zeros((v + 1, n), np.float64)
-        for i, s in enumerate(seqs):
-            np.add.at(tf[:, i], s, 1)
-        df = (tf > 0).sum(1)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         length = np.array([len(s) for s in seqs])
-        w = idf[:, None] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / length.mean()))
-        w[v] = 0
-        runs, owner = [], []
-        for i, s in enumerate(seqs):
-            own = np.lib.stride_tricks.sliding_window_view(s, min_words)
-            ordered = np.sort(own, 1)
-            fresh = np.ones_like(ordered, bool)
-            fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-            w[:, i] /= (w[:, i][ordered] * fresh).sum(1).min()
-            runs.append(own)
-            owner.append(np.full(len(own), i))
-        ids, who = np.concatenate(runs), np.concatenate(owner)
-        h = _run_hashes(ids, min_words)[:, 0]
-        order = np.argsort(h, kind="stable")
-        pad = -n % BLOCK
-        block_max = np.pad(w, ((0, 0), (0, pad))).reshape(v + 1, -1, BLOCK).max(2)
-        return cls(np.array([i for i, _ in texts]), vocabulary, w.astype(np.float32), block_max.astype(np.float32), w.max(1).astype(np.float32), h[order], who[order], ids[order].astype(np.int32), min_words)
+        counted = [np.unique(s, return_inverse=True, return_counts=True) for s in seqs]
+        df = np.bincount(np.concatenate([u for u, _, _ in counted]), minlength=v)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        weights = []
+        for (u, place, tf), words_in in zip(counted, length):
+            w = idf[u] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * words_in / length.mean()))
+            runs = np.sort(np.lib.stride_tricks.sliding_window_view(place.reshape(-1), min_words), 1)
+            fresh = np.ones_like(runs, bool)
+            fresh[:, 1:] = runs[:, 1:] != runs[:, :-1]
+            weights.append(w / (w[runs] * fresh).sum(1).min())
+        term = np.concatenate([u for u, _, _ in counted]).astype(np.int64)
+        item = np.repeat(np.arange(n), [len(u) for u, _, _ in counted])
+        weight = np.concatenate(weights)
+        order = np.lexsort((item, term))
+        term, item, weight = term[order], item[order], weight[order]
+        n_blocks = -(-n // BLOCK)
+        cells, start = np.unique(term * n_blocks + item // BLOCK, return_index=True)
+        term_max = np.zeros(v + 1)
+        np.maximum.at(term_max, term, weight)
+        offset = np.cumsum(length) - length
+        h = [_run_hashes(s, min_words) for s in seqs]
+        run_hash = np.concatenate(h)
+        run_item = np.repeat(np.arange(n), [len(x) for x in h])
+        run_at = np.concatenate([np.arange(len(x)) + o for x, o in zip(h, offset)])
+        by = np.argsort(run_hash, kind="stable")
+        return cls(
+            np.array([i for i, _ in texts]), vocabulary, n_blocks, np.append(cells, (v + 1) * n_blocks), np.append(start, len(item)), np.maximum.reduceat(weight, start).astype(np.float32),
+            item.astype(np.int32), weight.astype(np.float32), term_max.astype(np.float32), np.concatenate(seqs), run_hash[by], run_at[by], run_item[by].astype(np.int32), min_words,
+        )
 
     def passages(self, text: str | None) -> np.ndarray:
         """Windows of twice ``min_words`` over the stretches of known words.
@@ -130,27 +153,49 @@ class LeakIndex:
         return np.concatenate(out) if out else np.empty((0, 2 * n), np.int64)
 
     def retrieve(self, windows: np.ndarray, threshold: float = 1 - 1e-4) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item column) pairs that score at least ``threshold``.
+        """(window, item number) pairs that score at least ``threshold``.
 
-        First the terms' maxima, then the maxima of each block of items bound the score;
-        full scores are summed only for blocks that can still reach the threshold.
+        An item must hold a term that the window's weakest terms can't make up for: only
+        those terms' blocks are candidates.  The maxima of all terms within a block then
+        bound its score, and full scores are summed only for blocks that can still reach
+        the threshold.
         """
-        none = len(self.vocabulary)
+        none, nb = len(self.vocabulary), self.n_blocks
         q = np.sort(windows, 1)
         q[:, 1:][q[:, 1:] == q[:, :-1]] = none  # a term counts once
-        alive = np.flatnonzero(self.term_max[q].sum(1) >= threshold)
-        w_out, i_out = [], []
-        for lo in range(0, len(alive), 512):
-            part = alive[lo : lo + 512]
-            bounds = self.block_max[q[part]].sum(1)
-            for block in np.flatnonzero((bounds >= threshold).any(0)):
-                mine = part[bounds[:, block] >= threshold]
-                scores = self.weights[q[mine], block * BLOCK : (block + 1) * BLOCK].sum(1)
-                w, i = np.nonzero(scores >= threshold)
-                w_out.append(mine[w])
-                i_out.append(i + block * BLOCK)
-        empty = np.empty(0, np.int64)
-        return (np.concatenate(w_out), np.concatenate(i_out)) if w_out else (empty, empty)
+        best = self.term_max[q]
+        alive = np.flatnonzero(best.sum(1) >= threshold)
+        w_out, i_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo in range(0, len(alive), 256):
+            part = alive[lo : lo + 256]
+            terms, tops = q[part], best[part]
+            weakest = np.argsort(tops, 1, kind="stable")
+            needed = np.zeros_like(tops, bool)
+            np.put_along_axis(needed, weakest, np.cumsum(np.take_along_axis(tops, weakest, 1), 1) >= threshold, 1)
+            needed &= terms != none
+            row, col = np.nonzero(needed)
+            t = terms[row, col]
+            first, last = np.searchsorted(self.cells, t * nb), np.searchsorted(self.cells, (t + 1) * nb)
+            owner, cell = _ranges(first, last - first)
+            pairs = np.unique(row[owner] * nb + self.cells[cell] % nb)
+            row, block = pairs // nb, pairs % nb
+            for at in range(0, len(pairs), 4096):
+                r, bl = row[at : at + 4096], block[at : at + 4096]
+                wanted = terms[r] * nb + bl[:, None]
+                place = np.searchsorted(self.cells, wanted)
+                there = (self.cells[place] == wanted) & (terms[r] != none)
+                bound = np.where(there, self.cell_max[np.minimum(place, len(self.cell_max) - 1)], 0).sum(1)
+                keep = bound >= threshold
+                r, bl, place, there = r[keep], bl[keep], place[keep], there[keep]
+                pair, c = np.nonzero(there)
+                cell = place[pair, c]
+                owner, posting = _ranges(self.cell_start[cell], self.cell_start[cell + 1] - self.cell_start[cell])
+                slot = pair[owner] * BLOCK + self.item[posting] % BLOCK
+                scores = np.bincount(slot, self.weight[posting], len(r) * BLOCK).reshape(-1, BLOCK)
+                p, i = np.nonzero(scores >= threshold)
+                w_out.append(part[r[p]])
+                i_out.append(bl[p] * BLOCK + i)
+        return np.concatenate(w_out), np.concatenate(i_out)
 
     def verify(self, windows: np.ndarray, w: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Mask of the retrieved pairs whose passage holds a whole run of the item's words."""
@@ -166,7 +211,7 @@ class LeakIndex:
         for r, c in zip(*np.nonzero(hit)):
             k, run = first[r, c], windows[which[r], c : c + n]
             while k < len(self.run_hash) and self.run_hash[k] == h[r, c]:
-                if np.array_equal(self.run_ids[k], run):
+                if np.array_equal(self.words[self.run_at[k] : self.run_at[k] + n], run):
                     held.add(int(r) * items + int(self.run_item[k]))
                 k += 1
         if held:
@@ -179,31 +224,31 @@ class LeakIndex:
         return w[ok], self.item_ids[i[ok]]
 
 
-def _shards(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _indexed(items: DataFrame, chars: int) -> Iterator[list[tuple[int, str]]]:
     """Test items in groups of bounded size; one text longer than that is its own group."""
-    part, chars = [], 0
+    part, size = [], 0
     for r in items.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
-        if part and (len(part) >= SHARD_ITEMS or chars + len(r["text"]) > SHARD_CHARS):
+        if part and size + len(r["text"]) > chars:
             yield part
-            part, chars = [], 0
+            part, size = [], 0
         part.append((r["item_id"], r["text"]))
-        chars += len(r["text"])
+        size += len(r["text"])
     if part:
         yield part
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, index_chars: int = INDEX_CHARS) -> DataFrame:
     """``item_id, doc_id`` of each document with ``min_words`` consecutive words of an item.
 
     Null and empty texts, and items with fewer words, leak nothing; a repeated id counts
-    once.  The items go to the tasks in indexes of at most SHARD_ITEMS items and
-    SHARD_CHARS characters; a larger test set takes one pass over the documents for each.
+    once.  The items go to the tasks in an index of at most ``index_chars`` characters of
+    text; a larger test set takes one pass over the documents for each such index.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where("text is not null")
     schema = "item_id long, doc_id long"
     out = None
-    for part in _shards(items):
+    for part in _indexed(items, index_chars):
         index = LeakIndex.build(part, min_words)
         if index is None:
             continue

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import source_name
-from tidemark.session import bounded_rows, shared_dir
+from tidemark.session import broadcast_if_small, shared_dir
 
 #: Share of texts of a kind that end in a usual way from which another ending is a cut, and
 #: from how many texts of other sources on that is asked of them.
@@ -29,7 +29,6 @@ FULL_TEXTS, FULL_RATIO = 3, 5.0
 NEAR = 100
 BLOCKS = (4096, 2048, 1024, 512, 256)
 BLOCK_TEXTS, BLOCK_SHARE = 3, 0.2
-MAX_BASELINES = 500_000
 #: Longer runs of letters are data, not words; and how far from the end a mark can stand.
 LONGEST_WORD, MARK_REACH = 200, 200
 
@@ -255,7 +254,6 @@ def signs_of_truncation(documents: DataFrame) -> DataFrame:
 
 def _baselines(signs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """How texts usually end, full field lengths, and block sizes, by source."""
-    spark = signs.sparkSession
     whole = signs.where("cut = ''")
     n = whole.groupBy("source", "kind").agg(F.count("*").alias("n"), F.count_if("ends_usually").alias("n_usual"), F.count_if(~F.col("bare")).alias("l"), F.count_if(F.col("ends_usually") & ~F.col("bare")).alias("l_usual"))
     by_kind = n.groupBy("kind").agg(F.sum("n").alias("kn"), F.sum("n_usual").alias("kn_usual"))
@@ -281,11 +279,7 @@ def _baselines(signs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     for b in BLOCKS:  # the smallest block that explains as much comes last and wins only if it explains more
         size = F.when((F.col(f"b{b}") >= BLOCK_TEXTS) & (F.col(f"b{b}") >= BLOCK_SHARE * F.col("n")) & (F.col(f"b{b}") > F.coalesce(*[F.when(F.col(f"b{x}") >= BLOCK_TEXTS, F.col(f"b{x}")) for x in BLOCKS if x > b], F.lit(0))), b).otherwise(size)
     blocks = blocks.select("source", size.alias("block")).where("block is not null")
-    out = []
-    for f in (endings, full, blocks):
-        rows = bounded_rows(f, MAX_BASELINES)
-        out.append(f if rows is None else F.broadcast(spark.createDataFrame(rows, f.schema)))
-    return tuple(out)
+    return tuple(broadcast_if_small(f) for f in (endings, full, blocks))
 
 
 def judged_documents(documents: DataFrame) -> DataFrame:
