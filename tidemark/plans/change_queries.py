@@ -10,6 +10,7 @@ from tidemark.functions.lsn import lsn_col, lsn_text
 from tidemark.functions.times import utc_micros
 from tidemark.operators import change_feed as cf
 from tidemark.operators import drift, incremental, late_events, redelivery, snapshots
+from tidemark.plans import drift_sql
 from tidemark.session import broadcast_if_small, shared_dir
 
 
@@ -232,12 +233,13 @@ def p6_tables(spark: SparkSession, d: str) -> DataFrame:
     rows.write.parquet(path)
     rows, out = spark.read.parquet(path), None
     by_contract: dict[str, dict[str, str]] = {}
-    for k in kinds.orderBy("contract_id", "field").toLocalIterator():
+    landed = rows.select("contract_id").distinct()
+    for k in kinds.join(landed, "contract_id").orderBy("contract_id", "field").toLocalIterator():
         by_contract.setdefault(k["contract_id"], {})[k["field"]] = k["kind"]
     for contract_id, columns in by_contract.items():
         t = drift.contract_table(rows, contract_id, columns)
         n = t.agg(F.count("*").alias("n_lines"), *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)])
-        one = n.select(F.lit(contract_id).alias("contract_id"), "n_lines", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.lit(k).alias("kind"), F.col(f"n{i}").alias("n_values")) for i, (c, k) in enumerate(columns.items())])).alias("x")).select("contract_id", "x.*", "n_lines").where("n_lines > 0")
+        one = n.select(F.lit(contract_id).alias("contract_id"), "n_lines", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.lit(k).alias("kind"), F.col(f"n{i}").alias("n_values")) for i, (c, k) in enumerate(columns.items())])).alias("x")).select("contract_id", "x.*", "n_lines")
         out = one if out is None else out.unionByName(one)
     return spark.createDataFrame([], "contract_id string, field string, kind string, n_values long, n_lines long") if out is None else out
 
@@ -370,3 +372,4 @@ select 'audit' as feed, source_table, epoch_us(coalesce(ordering_ts, recorded_at
 union all
 select 'cdc', source_table, {_lsn_sql('end_lsn')} // 1073741824, count(distinct ({_lsn_sql('commit_lsn')}, change_index)) from cdc_delta group by 1, 2, 3""",
 }
+ORACLE |= drift_sql.ORACLE

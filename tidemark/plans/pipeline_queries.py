@@ -73,7 +73,8 @@ def pipeline_snapshot(spark: SparkSession, d: str) -> DataFrame:
 def pipeline_snapshot_rejected(spark: SparkSession, d: str) -> DataFrame:
     """What is left of a snapshot with rows that break the contract: counters, and no rows."""
     try:
-        pipelines.validate_and_land_snapshot(cq.dirty_orders(spark, d), cq.TIGHT, shared_dir(spark, "rejected"))
+        dirty = cq.dirty_orders(spark, d).withColumn("o_custkey", F.col("o_custkey").try_cast("bigint"))
+        pipelines.validate_and_land_snapshot(dirty, cq.TIGHT, shared_dir(spark, "rejected"))
         rows: list[tuple] = []
     except ContractValidationError as e:
         m = get_json(spark, e.manifest_path)
@@ -345,8 +346,9 @@ ORACLE = {
         union all select 2, (select n_now from n), count(*) filter (was is null), count(*) filter (was is not null and now is not null and not same), count(*) filter (now is not null and same), count(*) filter (now is null), 2 from j
         union all select 3, n_now, 0, 0, n_now, 0, 2 from n""",
     "pipeline_snapshot": "select *, true as replay_changed_nothing from orders",
-    "pipeline_snapshot_rejected": cq._DIRTY + """, n as (select count(distinct id) as bad, count(*) as errors from f), o as (select count(*) as total from orders)
-        select total as source_row_count, total - bad as valid_row_count, bad as invalid_row_count, bad as rows_in_errors, false as accepted, least(errors, 5) as n_samples from n, o""",
+    "pipeline_snapshot_rejected": """
+        with o as (select count(*) as total, count(*) filter (o_orderkey % 97 = 0 or o_orderstatus is null or o_orderstatus not in ('F', 'O') or o_totalprice < 1000 or o_totalprice >= 300000 or o_orderpriority <> '1-URGENT') as bad from orders)
+        select total as source_row_count, total - bad as valid_row_count, bad as invalid_row_count, bad as rows_in_errors, false as accepted, least(bad, 5) as n_samples from o""",
     "pipeline_audit": _AUDITED + "select source_table, key, status, row_hash from ranked where r = 1 and op = 'UPSERT'",
     "cdc_normalize": _CDC + "select source_table, lsn, change_index, op, key, row_hash from made",
     "cdc_event_errors": _SPOILT + """select source_table, lsn, change_index, '$' as field, code, case code when 'unsupported_op' then 'Unsupported operation' else 'WAL event does not include row_after' end as message,
