@@ -3,6 +3,7 @@ import time
 
 import pytest
 
+from tidemark.llm import truncation
 from tidemark.llm.truncation import examine, judged_documents, kind_of_text, truncation_by_source
 
 PY = '''import os
@@ -166,3 +167,26 @@ def test_one_longer_text_does_not_hide_a_field_limit(spark, longer):
 
 def test_empty_table(spark):
     assert judged_documents(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("text,cut", [
+    ("<?xml version='1.0'?>\n<a x=\"1>2\"><b/>t</a>\n", ""), ("<?xml version='1.0'?>\n<a><b>t</b>\n", "open markup"), ("<?xml version='1.0'?><a><b x='1", "open markup"), ("<svg><g/><!-- end", "open comment"),
+    ("<!DOCTYPE html><html><body><p>x<br><ul><li>y</ul></body></html>\n", ""), ("<html><body><div><p>x", "open markup"), ("<html><script>if (a < b) {", "open markup"), ("<html><script>if (a < b) { c('<i>') }</script></html>", ""),
+    ("# T\n\nText.\n\n<details>\n<summary>s</summary>\n\nMore text.\n", "open markup"), ("# T\n\nWrite `<details>` first.\n\n```\n<table>\n```\nDone.\n", ""), ("# T\n\n```\ncode\n", "open markup"),
+])
+def test_markup_is_closed_or_open(text, cut):
+    assert truncation.examine(text)[1] == cut
+
+
+def test_stored_bytes(spark):
+    rows = [(1, "Whole é.\n".encode()), (2, "Cut é".encode()[:-1]), (3, b"Latin \xe9.\n"), (4, None), (5, b"")]
+    got = {r["doc_id"]: r["cut"] for r in truncation.signs_of_truncation(spark.createDataFrame([(i, bytearray(t) if t is not None else None, "s") for i, t in rows], "doc_id long, text binary, source string")).collect()}
+    assert got == {1: "", 2: "broken character", 3: "", 5: ""}
+
+
+def test_very_long_markup_is_read_in_linear_time():
+
+    began = time.perf_counter()
+    assert truncation.examine("<html>" + "<div>" * 200_000)[1] == "open markup"
+    assert truncation.examine("<html>" + "<div>x</div>" * 100_000 + "</html>")[1] == ""
+    assert time.perf_counter() - began < 20

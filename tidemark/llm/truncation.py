@@ -29,8 +29,8 @@ FULL_TEXTS, FULL_RATIO = 3, 5.0
 NEAR = 100
 BLOCKS = (4096, 2048, 1024, 512, 256)
 BLOCK_TEXTS, BLOCK_SHARE = 3, 0.2
-#: Longer runs of letters are data, not words; and how far from the end a mark can stand.
-LONGEST_WORD, MARK_REACH = 200, 200
+#: How far from the end the mark that a cut leaves can begin.
+MARK_REACH = 200
 
 _MARK = re.compile(r"\s*(?:\[(?:\.\.\.|…)?\s*(?:cut|truncated|snip|more)?\s*(?:\.\.\.|…)?\]|<(?:truncated|cut)>)\s*$", re.I)
 _DOTS = re.compile(r"(?:\.\.\.|…)\s*$")
@@ -74,13 +74,15 @@ def _kind_of_block(t: str, weak: bool = False) -> str:
 
 
 def kind_of_text(t: str) -> str:
-    """``json``, ``python``, ``brace`` (C, Go, Java, JavaScript), ``yaml`` or ``prose``.
+    """``json``, ``markup``, ``python``, ``brace`` (C, Go, Java, JavaScript), ``yaml`` or ``prose``.
 
     The text's end decides: passages of other files stand within texts of every kind, as
     blocks of their own, and say nothing of how the file itself has to end.
     """
     if re.match(r'\s*(?:\{\s*(?:"|\}|$)|\[\s*(?:["{\[\]]|$))', t):
         return "json"
+    if _DOCUMENT.match(t):
+        return "markup"
     blocks = [x for x in re.split(r"\n[ \t]*(?:\n[ \t]*)+", t) if x.strip()]
     for block in reversed(blocks):
         if kind := _kind_of_block(block):
@@ -135,6 +137,59 @@ def _open_at_end(t: str, tokens: re.Pattern) -> str:
     return stack[-1] if stack else ""
 
 
+#: A text that is markup as a whole, and what such a text consists of.
+_DOCUMENT = re.compile(r"\s*<(?:!doctype\b|\?xml\b|html\b|svg\b)", re.I)
+_TAGS = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[?!].*?(?:>|\Z)|<(/?)([A-Za-z][\w:.-]*)((?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^<>"'])*)(>|(?=<)|\Z)|<\Z""", re.S | re.I)
+#: HTML elements that have no end tag, or need none (fixed values).
+_UNCLOSED = frozenset("area base br col embed hr img input link meta param source track wbr body colgroup dd dt head html li optgroup option p rb rp rt tbody td tfoot th thead tr".split())
+#: Elements that prose writes with both tags.
+_PAIRED = re.compile(r"<(/?)(details|summary|table|ul|ol|blockquote|pre|picture)\b[^<>]*>", re.I)
+_CODE_IN_PROSE = re.compile(r"^[ \t]*```.*?(?:^[ \t]*```|\Z)|`[^`\n]*`", re.S | re.M)
+
+
+def _open_markup(t: str) -> str:
+    """What a markup document has open at its end: ``comment``, ``markup`` or nothing."""
+    html, stack = re.match(r"\s*(?:<\?.*?>\s*)?<(?:!doctype html|html)\b", t, re.I | re.S) is not None, []
+    for m in _TAGS.finditer(t):
+        x = m.group()
+        if x.startswith(("<!--", "<![CDATA[")):
+            if not x.endswith(("-->", "]]>")):
+                return "comment"
+        elif m[1]:
+            if not re.search(r"</\w+\s*>$", x):
+                return "markup"
+        elif m[3] is None:
+            if not x.endswith(">"):
+                return "markup"
+        elif not m[5] and m.end() >= len(t):
+            return "markup"
+        elif html and m[3].lower() in _UNCLOSED or m[4].endswith("/"):
+            continue
+        elif not m[2]:
+            stack.append(m[3].lower() if html else m[3])
+        else:
+            name = m[3].lower() if html else m[3]
+            if name in stack:  # what was opened inside is given up
+                while stack.pop() != name:
+                    pass
+    return "markup" if stack else ""
+
+
+def _open_in_prose(t: str) -> bool:
+    """Whether prose leaves a code fence, or an element of those written in pairs, open."""
+    if len(re.findall(r"^[ \t]*```", t, re.M)) % 2:
+        return True
+    stack: list[str] = []
+    for m in _PAIRED.finditer(_CODE_IN_PROSE.sub("", t)) if "<" in t else ():
+        name = m[2].lower()
+        if not m[1]:
+            stack.append(name)
+        elif name in stack:
+            while stack.pop() != name:
+                pass
+    return bool(stack)
+
+
 def _without_comments(t: str, mark: str) -> list[str]:
     """Lines that aren't blank or wholly comment."""
     return [x for x in t.split("\n") if (s := x.strip()) and not s.startswith(mark)]
@@ -146,7 +201,7 @@ def _cut_word(t: str) -> bool:
     while begin and (t[begin - 1].isalnum() or t[begin - 1] == "_"):
         begin -= 1
     last, before = t[begin:end], t[:begin]
-    if not last or last.isdigit() or len(last) > LONGEST_WORD:
+    if not last or last.isdigit():
         return False
     return re.search(rf"\b{re.escape(last)}\b", before) is None and re.search(rf"\b{re.escape(last)}\w", before) is not None
 
@@ -228,21 +283,41 @@ def examine(text: str) -> tuple[str, str, bool, int, bool]:
         if ":" not in last and not last.lstrip().startswith("-"):
             return kind, "cut word", True, core_length, bare
         return kind, "", value[:1] in ('"', "'") and len(value) > 1, core_length, bare
-    if len(re.findall(r"^[ \t]*```", t, re.M)) % 2:
+    if kind == "markup":
+        left = _open_markup(t.rstrip())
+        return kind, f"open {left}" if left else "", t.rstrip().endswith(">"), core_length, bare
+    if _open_in_prose(t):
         return kind, "open markup", True, core_length, bare
     last = t.rstrip().rsplit("\n", 1)[-1].strip()
     return kind, "", last.endswith((".", "!", "?", ")", '"', "|", "```", "-->", "</details>")) and not last.startswith("#") and not dots, core_length, bare
 
 
+def text_of_bytes(raw: bytes) -> str:
+    """Text of stored bytes; a multibyte sequence that the end cuts becomes U+FFFD.
+
+    Bytes that are no UTF-8 elsewhere are read as Latin-1, so they prove nothing.
+    """
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError as e:
+        if e.reason == "unexpected end of data" and e.end == len(raw):
+            return raw[: e.start].decode("utf-8") + "\ufffd"
+        return raw.decode("latin-1")
+
+
 SIGNS = "doc_id long, source string, n_chars long, core_length long, kind string, cut string, ends_usually boolean, bare boolean, text_hash long"
 
 
 def signs_of_truncation(documents: DataFrame) -> DataFrame:
-    """What the automaton says of every document with a text (whole texts, one pass)."""
+    """What the automaton says of every document with a text (whole texts, one pass).
+
+    ``text`` may be a string or the stored bytes.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(*examine(t), len(t)) for t in b.column(2).to_pylist()]
+            texts = [text_of_bytes(t) if isinstance(t, bytes) else t for t in b.column(2).to_pylist()]
+            rows = [(*examine(t), len(t)) for t in texts]
             col = lambda i, kind: pa.array([r[i] for r in rows], kind)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), col(5, pa.int64()), col(3, pa.int64()), col(0, pa.string()), col(1, pa.string()), col(2, pa.bool_()), col(4, pa.bool_()), b.column(3)],
