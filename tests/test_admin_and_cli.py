@@ -1,3 +1,4 @@
+import argparse
 import datetime as dt
 import json
 import struct
@@ -5,10 +6,12 @@ import struct
 import pytest
 
 from tidemark.admin import audit, cdc
-from tidemark.cli import ensure_audit, ensure_cdc, peek
+from tidemark.admin.cdc import peek_sql
+from tidemark.cli import add_connection_options, add_contract_options, connection_of, ensure_audit, ensure_cdc, peek
 from tidemark.contract.model import Contract
 from tidemark.sources import credentials as cred
 from tidemark.sources import jdbc
+from tidemark.sources.credentials import ClientCredentials, access_token
 
 C = Contract("c", "1", ("id", "line"), primary_keys=("id", "line"))
 
@@ -95,13 +98,13 @@ def peek_connection(active=False):
 
 
 def test_peek_command(monkeypatch, capsys):
-    monkeypatch.setattr(peek, "connect", lambda dsn: peek_connection())
+    monkeypatch.setattr(peek, "connect", lambda dsn, *limits: peek_connection())
     base = ["--dsn", "x", "--slot", "s", "--publication", "p"]
     assert peek.main(base) == 0
     event = json.loads(capsys.readouterr().out)
     assert event["new"] == {"id": "5"} and event["commit_lsn"] == "0/2"
     assert peek.main([*base, "--info"]) == 0 and json.loads(capsys.readouterr().out)["slot_name"] == "s"
-    monkeypatch.setattr(peek, "connect", lambda dsn: peek_connection(True))
+    monkeypatch.setattr(peek, "connect", lambda dsn, *limits: peek_connection(True))
     assert peek.main(base) == 1 and capsys.readouterr().err.startswith("ERROR: ")
     assert peek.main([*base, "--limit", "0"]) == 1
     with pytest.raises(SystemExit) as e:
@@ -112,12 +115,12 @@ def test_peek_command(monkeypatch, capsys):
 def test_setup_commands(monkeypatch, capsys, tmp_path):
     f = tmp_path / "c.json"
     f.write_text(json.dumps({"contract_id": "c", "fields": ["id"], "primary_keys": ["id"]}))
-    monkeypatch.setattr(ensure_audit, "connect", lambda dsn: Fake(track_commit_timestamp=[{"v": "on"}]))
+    monkeypatch.setattr(ensure_audit, "connect", lambda dsn, *limits: Fake(track_commit_timestamp=[{"v": "on"}]))
     base = ["--dsn", "x", "--source-table", "t", "--audit-table", "a.l"]
     assert ensure_audit.main([*base, "--contract-file", str(f), "--pretty"]) == 0 and json.loads(capsys.readouterr().out)["trigger_created"]
     for bad in ([], ["--contract-file", str(f), "--registry-url", "http://r"], ["--registry-url", "http://r", "--namespace", "a", "--name", "b", "--token", "t", "--oidc-client-id", "i"], ["--registry-url", "http://r", "--namespace", "a", "--name", "b", "--oidc-client-id", "i"]):
         assert ensure_audit.main([*base, *bad]) == 1
-    monkeypatch.setattr(ensure_cdc, "connect", lambda dsn: Fake(wal_level=GOOD, pg_replication_slots=[]))
+    monkeypatch.setattr(ensure_cdc, "connect", lambda dsn, *limits: Fake(wal_level=GOOD, pg_replication_slots=[]))
     monkeypatch.setenv("SOURCE_DSN", "x")
     assert ensure_cdc.main(["--source-table", "t", "--publication", "p", "--slot", "s"]) == 0
     monkeypatch.delenv("SOURCE_DSN")
@@ -160,27 +163,34 @@ def test_database_statements(spark):
         jdbc.read_table(spark, "jdbc:x", "t", ["a"], partition_column="a")
 
 
-def test_changes_are_sent_by_partition(spark, tmp_path):
+@pytest.mark.parametrize("fails", [False, True])
+def test_changes_reach_a_database_whole_or_not_at_all(spark, tmp_path, fails):
     import sqlite3
 
     db = str(tmp_path / "x.db")
     with sqlite3.connect(db) as c:
-        c.execute("create table done (kind text, args text)")
+        c.execute("create table t (k integer primary key, v text)")
+        c.executemany("insert into t values (?, ?)", [(2, "old"), (3, "gone"), (4, "d")])
 
     def connect():
-        import json as j
         import sqlite3 as s
 
         class Cursor:
             def __init__(self, c):
                 self.c = c
 
+            def execute(self, sql, args=()):
+                if fails and "ON CONFLICT" in sql:
+                    raise RuntimeError("lost")
+                self.c.execute(sql.replace("%s", "?"), args)
+
             def executemany(self, sql, rows):
-                self.c.executemany("insert into done values (?, ?)", [(sql[:6], j.dumps(r)) for r in rows])
+                self.c.executemany(sql.replace("%s", "?"), rows)
 
         class Conn:
             def __init__(self):
-                self.c = s.connect(db, timeout=30)
+                self.c = s.connect(":memory:", timeout=30)
+                self.c.execute("attach database ? as public", (db,))
 
             def cursor(self):
                 return Cursor(self.c)
@@ -193,7 +203,47 @@ def test_changes_are_sent_by_partition(spark, tmp_path):
 
         return Conn()
 
-    df = spark.createDataFrame([(1, "a", "INSERT"), (2, "b", "UPDATE"), (3, None, "DELETE"), (4, "d", "UNCHANGED")], "k long, v string, change_type string").coalesce(1)
-    jdbc.write_changes(df, connect, "t", ["k", "v"], ["k"], batch=1)
+    rows = [(1, "a", "INSERT"), (2, "b", "UPDATE"), (3, "x", "DELETE"), (4, "e", "UNCHANGED"), (5, None, "DELETE")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "k long, v string, change_type string, part_no int").repartition(2)
+    if fails:
+        with pytest.raises(RuntimeError):
+            jdbc.write_changes(df, connect, "t", ["k", "v"], ["k"], batch=1)
+    else:
+        jdbc.write_changes(df, connect, "t", ["k", "v"], ["k"], batch=1)
     with sqlite3.connect(db) as c:
-        assert sorted(c.execute("select * from done").fetchall()) == [("DELETE", "[3]"), ("INSERT", '[1, "a"]'), ("INSERT", '[2, "b"]')]
+        assert sorted(c.execute("select * from t").fetchall()) == ([(2, "old"), (3, "gone"), (4, "d")] if fails else [(1, "a"), (2, "b"), (4, "d")])
+        assert [r[0] for r in c.execute("select name from sqlite_master where type = 'table'").fetchall()] == ["t"]
+
+
+def test_connections_within_limits():
+    p = argparse.ArgumentParser()
+    add_connection_options(p)
+    seen = []
+    args = p.parse_args(["--dsn", "x", "--statement-timeout-ms", "500"])
+    connection_of(args, lambda *a: seen.append(a))
+    assert seen == [("x", 5, 500)]
+    with pytest.raises(ValueError):
+        connection_of(p.parse_args(["--dsn", "x", "--connect-timeout", "0"]), print)
+
+
+def test_registry_options_and_certificates():
+    p = argparse.ArgumentParser()
+    add_contract_options(p)
+    args = p.parse_args(["--contracts-service-url", "http://r", "--namespace", "n", "--name", "c", "--contracts-access-token", "t", "--contracts-oidc-no-verify-ssl"])
+    assert args.registry_url == "http://r" and args.token == "t" and args.oidc_no_verify_tls
+    seen = []
+    c = ClientCredentials("https://o/token", "i", "s", verify_tls=False)
+
+    def post(url, form, timeout, verify_tls=True):
+        seen.append(verify_tls)
+        return 200, b'{"access_token": "abc"}'
+
+    import tidemark.sources.credentials as credentials
+
+    original, credentials.http_post = credentials.http_post, post
+    try:
+        assert access_token(c) == "abc" and access_token(ClientCredentials("https://o/token", "i", "s")) == "abc"
+    finally:
+        credentials.http_post = original
+    assert seen == [False, True]
+    assert "'messages', 'true'" in peek_sql(True) and "'messages'" not in peek_sql()
