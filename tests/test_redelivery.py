@@ -35,3 +35,18 @@ def test_new_batches_against_stored(spark):
     assert sorted((r["id"] or 0, r["part"], r["body"]) for r in got.collect()) == [(0, 1, "m"), (2, 0, "b")]
     assert accept_batch(batch.limit(0), stored, ID, [F.col("at")]).count() == 0
     assert accept_batch(batch, stored.limit(0), ID, [F.col("at")]).count() == 4
+
+
+def test_seen_messages_by_batches(spark):
+    from tidemark.operators.redelivery import SeenMessages
+    from tidemark.session import shared_dir
+
+    def batch(*rows):
+        return spark.createDataFrame([(*r, "clash") for r in rows], "feed string, id long, at long, batch string")
+
+    m = SeenMessages(spark, shared_dir(spark, "test-seen"), ["feed", "id"], [F.col("at")], buckets=4)
+    ids = lambda df: sorted(((r["feed"], r["id"], r["at"]) for r in df.collect()), key=str)
+    assert ids(m.accept(batch(("a", 1, 5), ("a", 1, 4), ("b", 1, 1), (None, None, 2), (None, None, 3)), 1)) == [("a", 1, 4), ("b", 1, 1), (None, None, 2)]
+    assert ids(m.accept(batch(("a", 1, 1), ("a", 2, 9), (None, None, 1), ("", 2, 1)), 2)) == [("", 2, 1), ("a", 2, 9)]
+    assert ids(m.accept(batch(("a", 2, 9), ("a", 3, 1)), 2)) == [("a", 2, 9), ("a", 3, 1)]  # again, with other rows
+    assert ids(m.accept(batch(), 3)) == [] and ids(m.accept(batch(("a", 3, 7), ("", 2, 1)), 4)) == [("", 2, 1)]

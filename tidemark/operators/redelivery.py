@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashes import row_hash64
+from tidemark.session import children, delete_path
 
 
 def ranked_copies(df: DataFrame, identity: Sequence[str], arrival: Sequence[Column], keep: int = 2) -> DataFrame:
@@ -48,8 +49,45 @@ def accept_batch(batch: DataFrame, stored: DataFrame, identity: Sequence[str], a
     as one row; nulls in an identifier match nulls.
     """
     new = first_copies(batch, identity, arrival)
-    seen = stored.select(*[F.col(c).alias(f"__seen_{c}") for c in identity]).distinct()
+    seen = stored.select(*[F.col(c).alias(f"__seen_{c}") for c in identity])
     match = F.lit(True)
     for c in identity:
         match = match & F.col(c).eqNullSafe(F.col(f"__seen_{c}"))
     return new.join(seen, match, "left_anti")
+
+
+class SeenMessages:
+    """Identifiers accepted so far, in buckets by their hash, and the batches they came in.
+
+    A batch meets the identifiers of the buckets it falls in and of no others, and adds one
+    small file to each of them; what is stored is never shuffled to be made unique, since
+    only identifiers that weren't there are added.  Below ``root``: ``messages/batch=N``
+    (accepted rows) and ``seen/`` (identifiers by bucket and batch).
+    """
+
+    def __init__(self, spark: SparkSession, root: str, identity: Sequence[str], arrival: Sequence[Column], buckets: int = 64):
+        self.spark, self.root, self.identity, self.arrival, self.buckets = spark, root.rstrip("/"), list(identity), list(arrival), buckets
+
+    def accept(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The rows of a batch that no other batch has delivered, each once, as stored.
+
+        A batch that is given again under its number, after a failure or with other rows,
+        replaces what it left; identifiers of later batches count as seen too.
+        """
+        n, target, seen_path = int(batch_id), f"{self.root}/messages/batch={int(batch_id)}", f"{self.root}/seen"
+        bucket = F.pmod(row_hash64([F.col(c) for c in self.identity], "seen"), F.lit(self.buckets)).cast("int")
+        new = batch.withColumn("__bucket", bucket)
+        for b in children(self.spark, seen_path):
+            delete_path(self.spark, f"{seen_path}/{b}/batch={n}")
+        kinds = ", ".join(f"`{c}` {batch.schema[c].dataType.simpleString()}" for c in self.identity)
+        if children(self.spark, seen_path):
+            stored = self.spark.read.schema(f"{kinds}, `__bucket` int, `batch` bigint").parquet(seen_path)
+            touched = [r[0] for r in new.select("__bucket").distinct().collect()]
+            rows = accept_batch(new, stored.where(F.col("__bucket").isin(touched)) if touched else stored.limit(0), self.identity, self.arrival)
+        else:
+            rows = first_copies(new, self.identity, self.arrival)
+        rows.write.mode("overwrite").parquet(target)
+        accepted = self.spark.read.schema(rows.schema).parquet(target)
+        ids = accepted.select(*self.identity, "__bucket", F.lit(n).cast("bigint").alias("batch"))
+        ids.hint("rebalance", "__bucket").write.mode("append").partitionBy("__bucket", "batch").parquet(seen_path)
+        return accepted.drop("__bucket")
