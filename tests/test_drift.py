@@ -61,10 +61,21 @@ def test_values_decide_where_nothing_is_described(spark):
     assert ("2", "renamed", "x", "a") in changes(spark, versions)  # without values: place and type
 
 
-def test_payloads(spark):
-    df = spark.createDataFrame([(x,) for x in ('{"a":1,"b":{"c":2}}', '{"a":1', '{"a":1} x', "{'a':1}", "[1]", "null", "", None, '{"a":null}', '{"a":1,"a":2}')], "p string")
-    got = [r["m"] for r in df.select(drift.parsed_payload(F.col("p")).alias("m")).collect()]
-    assert got == [{"a": "1", "b": '{"c":2}'}, None, None, None, None, None, None, None, {"a": None}, None]
+def test_payloads():
+    texts = ('{"a":1,"b":{"c": 2.50, "d":[true,null,"\u00e9"]}}', '{"a":1', '{"a":1} x', '{"a":1} {"b":2}', "{'a':1}", "[1]", "null", "", None, '{"a":null}', '{"a":1,"a":2}', '{"a":NaN}', "[" * 5000, '{"a": 1e2, "b": true}')
+    assert [drift.payload_members(t) for t in texts] == [{"a": "1", "b": '{"c":2.50,"d":[true,null,"\u00e9"]}'}, *[None] * 8, {"a": None}, None, None, None, {"a": "1e2", "b": "true"}]
+
+
+def test_both_ways_to_tell_what_can_be_cast_agree(spark):
+    texts = [
+        "", " ", "1", " 12 ", "-7", "+7", "1.5", ".5", "5.", "1e5", "1e", "9223372036854775807", "9223372036854775808", "-9223372036854775808", "0" * 30 + "1", "abc", "true", " FALSE ", "yes", "[1]", " [", "{}", "x{",
+        "2025-02-28", "2025-02-30", "2025-2-3", "2025-02-28T10:00", "2025-02-28 10:00:00", "2025-02-28T10:00:00.123456Z", "2025-02-28T25:00:00Z", "2025-02-30T10:00:00Z", "2025-02-28T10:00:00+02:00", "2025-02-28T10:61",
+        "123e4567-e89b-12d3-a456-426614174000", "123e4567e89b12d3a456426614174000", "\u0661",
+    ]
+    kinds = ["integer", "number", "boolean", "array", "object", "string", "string/date", "string/date-time", "string/uuid", "string/email", "other"]
+    df = spark.createDataFrame([(t, k) for t in texts for k in kinds], "v string, k string")
+    got = df.select("v", "k", drift.castable(F.col("v"), F.col("k")).alias("ok")).collect()
+    assert [(r["v"], r["k"]) for r in got if bool(r["ok"]) != (drift.fits(r["k"]) is None or bool(drift.fits(r["k"])(r["v"])))] == []
 
 
 def ingest(spark, versions, rows):
@@ -115,3 +126,30 @@ def test_empty_and_broken_metadata(spark):
     assert drift.rescue_ingest(landed(spark, [("1", 1, {"id": 1})]), none).collect()[0]["undeclared"] == {"id": "1"}
     odd = spark.createDataFrame([("c", "1", day(1), "not json", ["id"], {"id": "integer"}, None, None), ("c", None, day(1), None, None, None, None, None), ("c", "2", day(2), None, None, None, None, None)], CONTRACTS)
     assert [(r["change"], r["field"]) for r in drift.schema_changes(odd).collect()] == []
+
+
+def test_current_kinds_replay_values_under_old_names(spark):
+    versions = [("1", ID | {"a": {"type": "integer"}}), ("2", ID | {"b": {"type": "string", "x-formerName": "a"}, "c": {"type": "number"}})]
+    rows = [("1", 1, {"id": 1, "a": "many", "c": "2.5", "z": 1}), ("2", 2, {"id": 2, "b": "few", "c": "x"}), ("1", 3, {"id": 3, "a": 4, "b": "five"})]
+    c = contracts(spark, versions)
+    fields = drift.schema_fields(c)
+    names = drift.current_names(drift.schema_changes(c, fields=fields), c, fields)
+    kinds = drift.current_kinds(fields, names)
+    promoted = drift.promote(drift.stored_ingest(landed(spark, rows), c, fields=fields), kinds)
+    got = {r["file_id"]: (dict(r["row"]), r["rescued"]) for r in drift.consistent_rows(promoted, names).collect()}
+    assert got == {1: ({"id": "1", "b": "many", "c": "2.5"}, '{"z":"1"}'), 2: ({"id": "2", "b": "few"}, '{"c":"x"}'), 3: ({"id": "3", "b": "five"}, "{}")}
+
+
+def test_very_long_and_empty_payloads(spark):
+    rows = [("1", 1, {"id": 1, "x": "y" * 1_000_000}), ("1", 1, "{}"), ("1", 1, "")]
+    got = {r["line_in_file"]: r for r in ingest(spark, V, rows).collect()}
+    assert len(got[0]["undeclared"]["x"]) == 1_000_000 and got[1]["well_formed"] and got[1]["rescued"] == "{}" and not got[2]["well_formed"] and got[2]["typed"] == {}
+
+
+def test_values_of_an_older_type_are_kept_beside_the_column(spark):
+    versions = [("1", ID | {"a": {"type": "number"}}), ("2", ID | {"a": {"type": "integer"}})]
+    rows = [("1", 1, {"id": 1, "a": 2.5}), ("2", 2, {"id": 2, "a": 3})]
+    c = contracts(spark, versions)
+    fields = drift.schema_fields(c)
+    table = drift.contract_table(drift.consistent_rows(ingest(spark, versions, rows), drift.current_names(drift.schema_changes(c, fields=fields), c, fields)), "c", {"id": "integer", "a": "integer"})
+    assert sorted((r["id"], r["a"], r["_untyped"]) for r in table.collect()) == [(1, None, '{"a":"2.5"}'), (2, 3, None)]

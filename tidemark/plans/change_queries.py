@@ -43,7 +43,8 @@ def p1_state(spark: SparkSession, d: str) -> DataFrame:
 _VALUES = ("customer_id", "amount", "status", "updated_at", "order_id", "line_no")
 
 
-def _snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+def _snapshots(spark: SparkSession, d: str) -> dict:
+    """Rows, key, compared values and precedence, as the snapshot operators take them."""
     rows = table(spark, d, "snapshot_rows")
     newest = table(spark, d, "contracts").groupBy("contract_id").agg(F.max_by(F.struct("hash_keys", "fields", "primary_keys", "business_keys"), F.struct("published_at", "version")).alias("c"))
     filled = lambda *names: F.coalesce(*[F.when(F.size(f"c.{n}") > 0, F.col(f"c.{n}")) for n in names], F.array().cast("array<string>"))
@@ -55,7 +56,11 @@ def _snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     key = [F.col("key_order_id"), F.col("key_line_no")]
     compared = row_hash64([of("__hashed", c) for c in _VALUES], "values")
     first = [F.col("row_number_in_file"), F.col("delivery_no"), F.col("snapshot_at")]
-    return snapshots.snapshot_changes(rows, "contract_id", "snapshot_no", key, compared, first, ["key_order_id", "key_line_no"])
+    return {"rows": rows, "group": "contract_id", "snapshot": "snapshot_no", "key": key, "value_hash": compared, "first": first, "carry": ["key_order_id", "key_line_no"]}
+
+
+def _snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.snapshot_changes(**_snapshots(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +73,14 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("contract_id", "snapshot_no").agg(n("added").alias("insert_count"), n("changed").alias("update_count"), n("removed").alias("delete_count"))
 
 
+def p2_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The full rows of the keys that were added or changed, fetched for those keys only."""
+    s = _snapshots(spark, d)
+    found = snapshots.differing_rows(snapshots.snapshot_changes(**s), **{k: s[k] for k in ("rows", "group", "snapshot", "key", "first")})
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c)
+    return found.select("contract_id", F.col("snapshot_no").cast("bigint").alias("snapshot_no"), F.col("key_order_id").alias("order_id"), F.coalesce("key_line_no", F.lit(0).cast("bigint")).alias("line_no"), "change", text("customer_id"), text("amount"), text("status"))
+
+
 # 3: messages delivered more than once
 
 
@@ -104,7 +117,9 @@ def p3_accepted(spark: SparkSession, d: str) -> DataFrame:
     m = _audit_messages(spark, d).unionByName(_cdc_messages(spark, d))
     last = m.groupBy("feed").agg(F.max("batch").alias("__last"))
     m = m.join(broadcast_if_small(last), "feed")
-    return redelivery.accept_batch(m.where("batch * 2 > __last").drop("__last"), m.where("batch * 2 <= __last"), _MESSAGE, [F.col("arrived_at")]).select(*_MESSAGE)
+    seen = redelivery.SeenMessages(spark, shared_dir(spark, "seen"), _MESSAGE, [F.col("arrived_at")])
+    seen.accept(m.where("batch * 2 <= __last").drop("__last"), 1)
+    return seen.accept(m.where("batch * 2 > __last").drop("__last"), 2).select(*_MESSAGE)
 
 
 # 4: late and out-of-order events
@@ -193,7 +208,7 @@ def _ingested(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     """(contracts, their fields by version, landed lines as ingested and stored)."""
     contracts = table(spark, d, "contracts")
     fields = drift.schema_fields(contracts)
-    return contracts, fields, drift.stored_ingest(table(spark, d, "landed_rows"), contracts, fields=fields)
+    return contracts, fields, drift.stored_ingest(table(spark, d, "landed_rows"), contracts, fields=fields, candidates=drift.rename_candidates(fields))
 
 
 def _beyond(ingested: DataFrame) -> DataFrame:
@@ -223,7 +238,7 @@ def _consistent(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
     """Every landed line in its contract's one table: typed members under current names."""
     rows, _ = _consistent(spark, d)
-    return rows.select("contract_id", "file_id", "line_in_file", "file_version", "well_formed", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("row")))).alias("row_json"), "rescued")
+    return rows.select("contract_id", "file_id", "line_in_file", "file_version", "well_formed", F.when(F.col("well_formed"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("row"))))).alias("row_json"), "rescued")
 
 
 def p6_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -250,7 +265,7 @@ def p6_rescued_counts(spark: SparkSession, d: str) -> DataFrame:
     return i.groupBy("contract_id").agg(F.count("*").alias("n_lines"), F.count_if(~F.col("well_formed")).alias("n_malformed"), F.count_if(F.size("undeclared") > 0).alias("n_undeclared"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_counts, p3_found, p3_first_copies, p3_accepted, p4_found, p4_counts, p4_recomputed, p5_found, p5_replaced, p5_marks, p5_fingerprints, p6_found, p6_undeclared, p6_consistent, p6_tables, p6_rescued_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_counts, p2_rows, p3_found, p3_first_copies, p3_accepted, p4_found, p4_counts, p4_recomputed, p5_found, p5_replaced, p5_marks, p5_fingerprints, p6_found, p6_undeclared, p6_consistent, p6_tables, p6_rescued_counts)}
 
 _LSN = "(cast(('0x' || split_part(trim({0}), '/', 1)) as bigint) * 4294967296 + cast(('0x' || split_part(trim({0}), '/', 2)) as bigint))"
 
@@ -285,8 +300,10 @@ with m as (
 """
 
 _SNAPSHOTS = """
-with kept as (
-  select contract_id, snapshot_no, order_id, coalesce(line_no, 0) as line_no, customer_id, amount, status from snapshot_rows
+with spec as (
+  select contract_id, arg_max(case when len(hash_keys) > 0 then hash_keys else fields end, struct_pack(p := published_at, v := version)) as hashed from contracts group by 1
+), kept as (
+  select contract_id, snapshot_no, order_id, coalesce(line_no, 0) as line_no, customer_id, amount, status, updated_at from snapshot_rows
   qualify row_number() over (partition by contract_id, snapshot_no, order_id, line_no order by row_number_in_file, delivery_no) = 1
 ), numbers as (
   select contract_id, snapshot_no, lag(snapshot_no) over (partition by contract_id order by snapshot_no) as before
@@ -300,8 +317,10 @@ with kept as (
          coalesce(h.order_id, t.order_id) as order_id, coalesce(h.line_no, t.line_no)::bigint as line_no,
          case when t.order_id is null then 'added' when h.order_id is null then 'removed' else 'changed' end as change
   from here h full join there t on h.contract_id = t.contract_id and h.snapshot_no = t.later and h.order_id = t.order_id and h.line_no = t.line_no
+  join spec s on s.contract_id = coalesce(h.contract_id, t.contract_id)
   where t.order_id is null or h.order_id is null
-     or (h.customer_id, h.amount, h.status) is distinct from (t.customer_id, t.amount, t.status)
+     or (list_contains(s.hashed, 'customer_id') and h.customer_id is distinct from t.customer_id) or (list_contains(s.hashed, 'amount') and h.amount is distinct from t.amount)
+     or (list_contains(s.hashed, 'status') and h.status is distinct from t.status) or (list_contains(s.hashed, 'updated_at') and h.updated_at is distinct from t.updated_at)
 )
 """
 
@@ -335,6 +354,8 @@ ORACLE = {
     "p2_found": _SNAPSHOTS + "select * from found",
     "p2_counts": _SNAPSHOTS + """select contract_id, snapshot_no, count(*) filter (change = 'added') as insert_count, count(*) filter (change = 'changed') as update_count,
         count(*) filter (change = 'removed') as delete_count from found group by 1, 2""",
+    "p2_rows": _SNAPSHOTS + """select f.contract_id, f.snapshot_no, f.order_id, f.line_no, f.change, coalesce(cast(k.customer_id as varchar), '-') as customer_id, coalesce(cast(k.amount as varchar), '-') as amount, coalesce(k.status, '-') as status
+        from found f join kept k on k.contract_id = f.contract_id and k.snapshot_no = f.snapshot_no and k.order_id = f.order_id and k.line_no = f.line_no where f.change <> 'removed'""",
     "p3_found": _MESSAGES + "select feed, source_table, id_major, id_minor, op from m where id_major is not null and id_minor is not null group by all having count(*) > 1",
     "p3_first_copies": _MESSAGES + "select feed, source_table, id_major, id_minor, op, min(arrived_at) as arrived_at from m group by 1, 2, 3, 4, 5",
     "p3_accepted": _MESSAGES + """, last as (select feed, max(batch) as b from m group by 1)

@@ -127,9 +127,8 @@ ORACLE = {
             '{{' || coalesce(string_agg({_TEXT.format('field')}, ',' order by place, nth) filter (not typed), '') || '}}' as rescued from shown group by 1, 2, 3)
         select l.contract_id, l.file_id, l.line_in_file, l.version as file_version, l.ok as well_formed, case when l.ok then coalesce(t.row_json, '{{}}') end as row_json, case when l.ok then coalesce(t.rescued, '{{}}') else l.payload end as rescued
         from l left join texts t using (contract_id, file_id, line_in_file)""",
-    "p6_tables": _REPLAYED + """, c as (
-          select n.contract_id, n.field, n.kind, count(s.value) filter (case split_part(n.kind, '/', 1) when 'integer' then try_cast(s.value as bigint) is not null when 'number' then try_cast(s.value as double) is not null
-            when 'boolean' then try_cast(s.value as boolean) is not null when 'string' then case split_part(n.kind, '/', 2) when 'date' then try_cast(s.value as date) is not null when 'date-time' then try_cast(s.value as timestamptz) is not null else true end else true end) as n_values
+    "p6_tables": _REPLAYED + f""", c as (
+          select n.contract_id, n.field, n.kind, count(s.value) filter ({_fits('s.value', 'n.kind')}) as n_values
           from now n left join shown s on s.contract_id = n.contract_id and s.name = n.field and s.kept group by 1, 2, 3)
         select c.*, x.n_lines from c join (select contract_id, count(*) as n_lines from l group by 1) x using (contract_id)""",
 }

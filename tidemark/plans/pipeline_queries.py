@@ -6,12 +6,16 @@ curated tables or in their counters.
 
 from __future__ import annotations
 
+import json
 import struct
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.contract.model import Contract, ContractValidationError
+from tidemark.contract.model import Contract, ContractValidationError, parse_registry_payload
+from tidemark.contract.types import contract_schema
 from tidemark.functions.lsn import lsn_col, lsn_text
 from tidemark.operators import delta, pipelines, validate
 from tidemark.operators.redelivery import first_copies
@@ -279,8 +283,25 @@ def row_hash_kinds(spark: SparkSession, d: str) -> DataFrame:
     return li.select(canonical_row(li, li.columns).alias("canonical_text"), row_hash(li, li.columns).alias("row_hash"))
 
 
+def contract_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Registry payloads made of the stored contracts, read back: fields, types and table columns."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                version = {"version": r.version, "checksum": r.checksum, "schema_json": json.loads(r.schema_json)}
+                c = parse_registry_payload({"data": {"contract": {"id": r.contract_id, "target_layer": r.target_layer}, "version": version}}).check()
+                for f in contract_schema(c):
+                    out.append((c.contract_id, c.version, f.name, c.field_types.get(f.name, "-"), f.dataType.simpleString(), f.nullable, f.name in c.required_fields, f.name in c.key_fields, f.name in c.effective_hash_fields))
+            yield pd.DataFrame(out, columns=["contract_id", "version", "field", "contract_type", "column_type", "nullable", "required", "is_key", "is_hashed"])
+
+    rows = table(spark, d, "contracts").where("schema_json is not null").select("contract_id", "target_layer", "version", "checksum", "schema_json")
+    return rows.mapInPandas(read, "contract_id string, version string, field string, contract_type string, column_type string, nullable boolean, required boolean, is_key boolean, is_hashed boolean").distinct()
+
+
 _Q = (
-    pipeline_hash_diff, pipeline_hash_diff_counts, pipeline_snapshot, pipeline_snapshot_rejected, pipeline_audit, cdc_normalize, cdc_event_errors, cdc_quarantine_counts, pipeline_cdc, pgoutput_lines,
+    contract_fields, pipeline_hash_diff, pipeline_hash_diff_counts, pipeline_snapshot, pipeline_snapshot_rejected, pipeline_audit, cdc_normalize, cdc_event_errors, cdc_quarantine_counts, pipeline_cdc, pgoutput_lines,
     validate_formats, validate_messages, row_hash_kinds,
 )
 QUERIES = {f.__name__: f for f in _Q}
@@ -340,6 +361,14 @@ def _bound_sql(field: str, code: str, constraint: str, reason: str, shown: str,
 
 
 ORACLE = {
+    "contract_fields": """
+        with c as (select contract_id, version, fields, field_types, required_fields, case when len(primary_keys) > 0 then primary_keys else business_keys end as keys, schema_json from contracts where schema_json is not null),
+        f as (select *, unnest(fields) as field from c),
+        h as (select *, from_json(json_extract(schema_json, '$."x-hashKeys"'), '["VARCHAR"]') as hashed from f)
+        select distinct contract_id, version, field, coalesce(field_types[field], '-') as contract_type,
+          case field_types[field] when 'integer' then 'bigint' when 'decimal' then 'decimal(38,18)' when 'boolean' then 'boolean' when 'timestamp' then 'timestamp' when 'date' then 'date' else 'string' end as column_type,
+          not (list_contains(required_fields, field) or list_contains(keys, field)) as nullable, list_contains(required_fields, field) as required, list_contains(keys, field) as is_key,
+          case when len(hashed) > 0 then list_contains(hashed, field) else true end as is_hashed from h""",
     "pipeline_hash_diff": "select c_custkey, c_name, c_nationkey, c_mktsegment, sha256(concat_ws('|', coalesce(c_name, '<NULL>'), coalesce(cast(c_nationkey as varchar), '<NULL>'), coalesce(c_mktsegment, '<NULL>'))) as row_hash from customer",
     "pipeline_hash_diff_counts": _OLD_CUSTOMERS + """
         select 1::bigint as run, n_old as read_count, n_old as insert_count, 0::bigint as update_count, 0::bigint as unchanged_count, 0::bigint as delete_count, 1::bigint as version from n
