@@ -247,3 +247,8 @@ def test_registry_options_and_certificates():
         credentials.http_post = original
     assert seen == [False, True]
     assert "'messages', 'true'" in peek_sql(True) and "'messages'" not in peek_sql()
+
+
+def test_lag_of_a_slot():
+    found = [{"slot_name": "s", "active": True, "restart_lsn": "0/1", "confirmed_flush_lsn": "0/2", "retained_wal_bytes": 5}]
+    assert cdc.slot_lag(Fake(retained_wal_bytes=found), "s") == found[0] and cdc.slot_lag(Fake(retained_wal_bytes=[]), "s") is None
