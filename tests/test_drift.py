@@ -66,6 +66,13 @@ def test_payloads():
     assert [drift.payload_members(t) for t in texts] == [{"a": "1", "b": '{"c":2.50,"d":[true,null,"\u00e9"]}'}, *[None] * 8, {"a": None}, None, None, None, {"a": "1e2", "b": "true"}]
 
 
+def test_repeated_names_are_found_however_they_hide():
+    bad = ['{"a" :1,"b":2,"b":3}', '{"a":"\\"","a":2}', '{"a":{"x":1,"x":2}}', '{"a":[{"x":1,"x":"2"}]}', '{"a":"1","a":"1"}', '{"\\u0061":1,"a":2}']
+    good = ['{"a":"x\\"y:\\":"}', '{"a":{"x":{"y":1}},"b":[["c",{"d":"e"}]]}', '{"a" : [ "b", 1 ], "c" : {"d" : "e"}}']
+    assert [drift.payload_members(t) for t in bad] == [None] * len(bad)
+    assert [drift.payload_members(t) for t in good] == [{"a": 'x"y:":'}, {"a": '{"x":{"y":1}}', "b": '[["c",{"d":"e"}]]'}, {"a": '["b",1]', "c": '{"d":"e"}'}]
+
+
 def test_both_ways_to_tell_what_can_be_cast_agree(spark):
     texts = [
         "", " ", "1", " 12 ", "-7", "+7", "1.5", ".5", "5.", "1e5", "1e", "9223372036854775807", "9223372036854775808", "-9223372036854775808", "0" * 30 + "1", "abc", "true", " FALSE ", "yes", "[1]", " [", "{}", "x{",

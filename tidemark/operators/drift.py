@@ -189,6 +189,28 @@ def _no_constant(name: str) -> None:
 
 
 _STRICT = json.JSONDecoder(object_pairs_hook=_distinct, parse_float=_Number, parse_int=_Number, parse_constant=_no_constant)
+_PLAIN = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_no_constant)
+
+
+def _decoded(payload: str) -> Any:
+    """The JSON value of a text; ValueError if it isn't JSON or repeats a member name.
+
+    What was read accounts for a number of quotation marks.  A repeated name, an escaped
+    mark or a deeper value leaves more of them in the text, which is then read strictly.
+    """
+    found = _PLAIN.decode(payload)
+    if type(found) is not dict:
+        return found
+    marks = 2 * len(found)
+    for v in found.values():
+        kind = type(v)
+        if kind is str:
+            marks += 2
+        elif kind is list:
+            marks += 2 * [type(x) for x in v].count(str)
+        elif kind is dict:
+            marks += 2 * len(v) + 2 * [type(x) for x in v.values()].count(str)
+    return found if marks == payload.count('"') else _STRICT.decode(payload)
 
 
 _compact = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
@@ -213,13 +235,13 @@ def payload_members(payload: str | None) -> dict[str, str | None] | None:
     well-formed.  A number stays as it was written, a nested value is compact JSON.
     """
     try:
-        found = _STRICT.decode(payload) if payload else None
+        found = _decoded(payload) if payload else None
     except (ValueError, RecursionError):
         return None
     if type(found) is not dict:
         return None
     for k, v in found.items():
-        if v is not None and not isinstance(v, str):
+        if v is not None and type(v) is not str and type(v) is not _Number:
             found[k] = _written(v)
     return found
 
@@ -409,18 +431,20 @@ def _split(watching: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
                         keys[place].append(k)
                         values[place].append(v)
                     rescued.append(_compact({k: members[k] for k in beyond}))
-                if watching:
+                if watching and members:
                     wanted = asked.get(watch)
                     if wanted is None:
                         found = json.loads(watch)
                         wanted = asked[watch] = (found["names"], found["keys"])
-                    record = "\1".join([members.get(k) or "" for k in wanted[1]]) if members else ""
+                    record = "\1".join([members.get(k) or "" for k in wanted[1]])
                     records.append(record if record.strip("\1") else None)
-                    for k in wanted[0] if members else ():
+                    for k in wanted[0]:
                         v = members.get(k)
                         if v is not None and (v := _plain(v)):
                             keys[3].append(k)
                             values[3].append(v)
+                elif watching:
+                    records.append(None)
                 for place in range(4):
                     ends[place].append(len(keys[place]))
             maps = [pa.MapArray.from_arrays(pa.array(ends[i], pa.int32()), pa.array(keys[i], pa.string()), pa.array(values[i], pa.string())) for i in range(4 if watching else 3)]

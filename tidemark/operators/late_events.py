@@ -73,7 +73,8 @@ class LateEventCounts:
 
         Calling it again with the same id, also with other rows, replaces what the first
         call left behind: the partitions that call touched are recomputed too.  A call that
-        failed half-way is repeated as a whole.  An empty batch touches nothing.
+        failed half-way is repeated as a whole; until then a partition may have been
+        replaced without the others.  An empty batch touches nothing.
         """
         n, noted = int(batch_id), f"{self.root}/batches/{int(batch_id)}.json"
         target = f"{self.raw_path}/batch={n}"

@@ -78,16 +78,16 @@ class SeenMessages:
         bucket = F.pmod(row_hash64([F.col(c) for c in self.identity], "seen"), F.lit(self.buckets)).cast("int")
         new = batch.withColumn("__bucket", bucket)
         for b in children(self.spark, seen_path):
-            delete_path(self.spark, f"{seen_path}/{b}/batch={n}")
+            delete_path(self.spark, f"{seen_path}/{b}/__batch={n}")
         kinds = ", ".join(f"`{c}` {batch.schema[c].dataType.simpleString()}" for c in self.identity)
         if children(self.spark, seen_path):
-            stored = self.spark.read.schema(f"{kinds}, `__bucket` int, `batch` bigint").parquet(seen_path)
+            stored = self.spark.read.schema(f"{kinds}, `__bucket` int, `__batch` bigint").parquet(seen_path)
             touched = [r[0] for r in new.select("__bucket").distinct().collect()]
             rows = accept_batch(new, stored.where(F.col("__bucket").isin(touched)) if touched else stored.limit(0), self.identity, self.arrival)
         else:
             rows = first_copies(new, self.identity, self.arrival)
         rows.write.mode("overwrite").parquet(target)
         accepted = self.spark.read.schema(rows.schema).parquet(target)
-        ids = accepted.select(*self.identity, "__bucket", F.lit(n).cast("bigint").alias("batch"))
-        ids.hint("rebalance", "__bucket").write.mode("append").partitionBy("__bucket", "batch").parquet(seen_path)
+        ids = accepted.select(*self.identity, "__bucket", F.lit(n).cast("bigint").alias("__batch"))
+        ids.hint("rebalance", "__bucket").write.mode("append").partitionBy("__bucket", "__batch").parquet(seen_path)
         return accepted.drop("__bucket")

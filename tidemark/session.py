@@ -79,14 +79,16 @@ def bounded_rows(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> li
     Rows are counted and measured (as JSON) before any is sent.  Used for metadata only
     (contracts, catalogues, touched periods); every caller has a join to fall back on.
     """
-    kept = df.persist()
+    held = df.storageLevel.useMemory or df.storageLevel.useDisk
+    kept = df if held else df.persist()
     try:
         size = kept.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in df.columns])))).alias("b")).first()
         if size["n"] > max_rows or (size["b"] or 0) > max_bytes:
             return None
         return kept.collect()
     finally:
-        kept.unpersist()
+        if not held:
+            kept.unpersist()
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = MAX_BYTES) -> DataFrame:
