@@ -214,6 +214,7 @@ def _decoded(payload: str) -> Any:
 
 
 _compact = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+_quoted = json.encoder.encode_basestring
 
 
 def _written(v: Any) -> str:
@@ -221,11 +222,10 @@ def _written(v: Any) -> str:
     if type(v) is _Number:
         return str(v)
     if type(v) is list:
-        plain = all(type(x) is str for x in v)
-        return _compact(v) if plain else "[" + ",".join(map(_written, v)) + "]"
+        return "[" + ",".join([_quoted(x) if type(x) is str else _written(x) for x in v]) + "]"
     if type(v) is dict:
-        return "{" + ",".join([f"{_compact(k)}:{_written(x)}" for k, x in v.items()]) + "}"
-    return _compact(v)
+        return "{" + ",".join([f"{_quoted(k)}:{_quoted(x) if type(x) is str else _written(x)}" for k, x in v.items()]) + "}"
+    return _quoted(v) if type(v) is str else _compact(v)
 
 
 def payload_members(payload: str | None) -> dict[str, str | None] | None:
@@ -400,17 +400,18 @@ def _split(watching: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
     """Lines with payload, declared kinds and watched names (JSON) last, members in their places."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests: dict[str | None, dict[str, Callable[[str], Any] | None]] = {None: {}}
-        asked: dict[str | None, tuple[list[str], list[str]]] = {None: ([], [])}
-        nobody = object()
+        tests: dict[str, dict[str, Callable[[str], Any] | None]] = {}
+        nothing, nobody = {}, object()
         for b in batches:
             n = b.num_columns - 3
             ok, rescued, records = [], [], []
             keys, values, ends = [[], [], [], []], [[], [], [], []], [[0], [0], [0], [0]]
-            for payload, declared, watch in zip(*(b.column(n + i).to_pylist() for i in range(3))):
-                known = tests.get(declared)
-                if known is None:
-                    known = tests[declared] = {f: fits(k) for f, k in json.loads(declared).items()}
+            declared, watch = (b.column(n + i).dictionary_encode() for i in (1, 2))
+            # Few texts stand on many lines: each is read once a batch, lines have its number.
+            kinds = [tests.get(d) or tests.setdefault(d, {f: fits(k) for f, k in json.loads(d).items()}) for d in declared.dictionary.to_pylist()]
+            asks = [(w["names"], w["keys"]) for w in map(json.loads, watch.dictionary.to_pylist())]
+            for payload, d, w in zip(b.column(n).to_pylist(), declared.indices.to_pylist(), watch.indices.to_pylist()):
+                known = nothing if d is None else kinds[d]
                 members = payload_members(payload)
                 ok.append(members is not None)
                 beyond = {}
@@ -431,14 +432,11 @@ def _split(watching: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
                         keys[place].append(k)
                         values[place].append(v)
                     rescued.append(_compact({k: members[k] for k in beyond}))
-                if watching and members:
-                    wanted = asked.get(watch)
-                    if wanted is None:
-                        found = json.loads(watch)
-                        wanted = asked[watch] = (found["names"], found["keys"])
-                    record = "\1".join([members.get(k) or "" for k in wanted[1]])
+                if members and w is not None:
+                    names, own = asks[w]
+                    record = "\1".join([members.get(k) or "" for k in own])
                     records.append(record if record.strip("\1") else None)
-                    for k in wanted[0]:
+                    for k in names:
                         v = members.get(k)
                         if v is not None and (v := _plain(v)):
                             keys[3].append(k)
@@ -449,8 +447,8 @@ def _split(watching: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
                     ends[place].append(len(keys[place]))
             maps = [pa.MapArray.from_arrays(pa.array(ends[i], pa.int32()), pa.array(keys[i], pa.string()), pa.array(values[i], pa.string())) for i in range(4 if watching else 3)]
             more = [pa.array(records, pa.string()), maps[3]] if watching else []
-            names = [*b.schema.names[:n], "well_formed", "typed", "undeclared", "uncastable", "rescued", *(["record", "watched"] if watching else [])]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(ok, pa.bool_()), *maps[:3], pa.array(rescued, pa.string()), *more], names=names)
+            columns = [*b.schema.names[:n], "well_formed", "typed", "undeclared", "uncastable", "rescued", *(["record", "watched"] if watching else [])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(ok, pa.bool_()), *maps[:3], pa.array(rescued, pa.string()), *more], names=columns)
 
     return run
 
